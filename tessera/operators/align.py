@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 def local_score(a: np.ndarray, b: np.ndarray, match: float = 2.0, mismatch: float = -1.0, open_: float = 3.0, extend: float = 0.3) -> float:
     """Smith-Waterman with affine gaps (a gap of n costs open + (n - 1) extend); a row at a time."""
+    a, b = np.asarray(a), np.asarray(b)
     if not len(a) or not len(b):
         return 0.0
     h, e, best = np.zeros(len(b) + 1), np.full(len(b) + 1, -np.inf), 0.0
