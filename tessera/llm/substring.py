@@ -230,9 +230,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = digest.groupBy("sha").agg(F.min("id").alias("of"), F.count_distinct("id").alias("n")).filter("n > 1")
     later = digest.join(first, "sha").filter("id != of").select("id", F.lit(False).alias("first")).distinct()
     notes = settle(holders.join(later, "id", "full"))
-    # the texts move once: both uses of this join read the same exchange
+    # the texts move once: both uses of this join take the same columns, so they read the same exchange
     joined = rows.join(notes, "id", "left").select("own", "id", "t", F.when(F.col("first").isNull(), F.col("keys")).alias("keys"), F.coalesce("first", F.lit(True)).alias("first"))
-    seen = _windows(joined.select("id", "t", "keys", "first"), window, gram)
+    seen = _windows(joined, window, gram)
     earliest = seen.groupBy("f1", "f2").agg(F.min("id").alias("id"))
     new = earliest.groupBy("id").agg(F.collect_list("f1").alias("new"))
     done = _kept(joined.join(new, "id", "left"), window, gram, with_text)
