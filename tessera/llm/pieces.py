@@ -7,8 +7,9 @@ has exactly one BPE encoding, whose last piece is the edge that is compatible wi
 it (two pieces are compatible if BPE merges their concatenation into just them). A character that is no piece becomes
 its UTF-8 bytes' pieces.
 
-Units are what no piece reaches across: a run of spaces with the word after it; a line feed where no piece has one. A
-task remembers up to KNOWN units, so a text is mostly looked up.
+Units are what no piece reaches across: a run of spaces with the word after it, cut again between characters that stand
+together in no piece; a line feed where no piece has one. A worker remembers up to KNOWN units, so a text is mostly
+looked up.
 
 Decoding joins the pieces, bytes included, turns the space sign into a space and drops the space that encoding put first.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, whole
 
-SPACE, KNOWN, BATCH = "▁", 600_000, 32_768
+SPACE, KNOWN, BATCH = "▁", 500_000, 65_536
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -115,20 +116,33 @@ class Matcher:
         self.low = np.array([np.frombuffer(pad(p, b"\0"), dtype=">u8") for p in coded], dtype=np.uint64)
         self.high = np.array([np.frombuffer(pad(p, b"\xff"), dtype=">u8") for p in coded], dtype=np.uint64)
         self.ids = np.array([self.model.number[p] for p in self.order], dtype="<u4")
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.together = {two for p in self.order for two in zip(p, p[1:], strict=False)}
         line = "\n" in {c for p in self.order for c in p}
         self.split = re.compile(r" *[^ ]+| +" if line else r" *[^ \n]+| +|\n").findall
 
-    def compatible(self, a: int, b: int) -> bool:
-        ok = self.fits.get((a, b))
-        if ok is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            x, y = self.order[a], self.order[b]
-            ok = self.fits[(a, b)] = self.model.merged(x + y) == [x, y]
+    def _fit(self, key: int) -> bool:
+        """Whether the matches key // 2**16 and key % 2**16 are compatible; remembered."""
+        if len(self.fits) > 2_000_000:
+            self.fits.clear()
+        x, y = self.order[key >> 16], self.order[key & 65535]
+        ok = self.fits[key] = self.model.merged(x + y) == [x, y]
         return ok
 
+    def cut(self, unit: str) -> list[str]:
+        """unit between characters that stand together in no piece: no merge reaches across."""
+        together = self.together
+        if all(map(together.__contains__, zip(unit, unit[1:], strict=False))):
+            return [unit]
+        out, at = [], 0
+        for i, two in enumerate(zip(unit, unit[1:], strict=False), 1):
+            if two not in together:
+                out.append(unit[at:i])
+                at = i
+        return [*out, unit[at:]]
+
     def occurrences(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces stand in data: positions, match numbers."""
         size = len(data)
@@ -163,32 +177,42 @@ class Matcher:
         end = at + self.bytes[which]
         order = np.lexsort((at, end))
         at, end, which = at[order].tolist(), end[order].tolist(), which[order].tolist()
-        last: dict[int, tuple[int, int]] = dict.fromkeys(begin.tolist(), (-1, -1))  # position: match that ends there (-1: none, -2: a character that is no piece), where it begins
+        # by position in the text: the match that ends there (-1 where a unit begins, -2 for a character that is no piece, -9 none), and where that begins
+        last, came = [-9] * (int(size.sum()) + len(units) + 1), [0] * (int(size.sum()) + len(units) + 1)
+        for b in begin.tolist():
+            last[b] = -1
         # characters that are no piece are edges as well, met in the same order
         loose = sorted((b + off, b + off + n) for c, b, u in zip(coded, begin.tolist(), units, strict=True) for off, n in self._loose(u, c))
-        k = 0
-        compatible = self.compatible
+        k, fits, fit = 0, self.fits, self._fit
         for s, e, w in zip(at, end, which, strict=True):
             while k < len(loose) and loose[k][1] <= e:
-                if loose[k][0] in last:
-                    last[loose[k][1]] = (-2, loose[k][0])
+                if last[loose[k][0]] != -9:
+                    last[loose[k][1]], came[loose[k][1]] = -2, loose[k][0]
                 k += 1
-            if e not in last and s in last:
-                before = last[s][0]
-                if before < 0 or compatible(before, w):
-                    last[e] = (w, s)
+            before = last[s]
+            if before != -9 and last[e] == -9:
+                if before >= 0:
+                    key = before << 16 | w
+                    ok = fits.get(key)
+                    if not (fit(key) if ok is None else ok):
+                        continue
+                last[e], came[e] = w, s
         for s, e in loose[k:]:
-            if s in last:
-                last[e] = (-2, s)
+            if last[s] != -9:
+                last[e], came[e] = -2, s
         out = []
         ids = self.ids.tolist()
         for b, n, u in zip(begin.tolist(), size.tolist(), coded, strict=True):
             path, to = [], b + n
             while to > b:
-                w, s = last[to]
-                path.append([ids[w]] if w >= 0 else self.model.spelt(u[s - b : to - b].decode("utf-8", "surrogatepass")))
+                w, s = last[to], came[to]
+                if w >= 0:
+                    path.append(ids[w])
+                else:
+                    path += reversed(self.model.spelt(u[s - b : to - b].decode("utf-8", "surrogatepass")))
                 to = s
-            out.append(np.array([i for x in reversed(path) for i in x], dtype="<u4").tobytes())
+            path.reverse()
+            out.append(struct.pack(f"<{len(path)}I", *path))
         return out
 
     def _loose(self, unit: str, coded: bytes) -> list[tuple[int, int]]:
@@ -209,9 +233,15 @@ class Matcher:
         if len(self.units) > KNOWN:
             self.units = {}
         new = list(set().union(*split).difference(self.units))
-        for i in range(0, len(new), BATCH):
-            part = new[i : i + BATCH]
-            self.units.update(zip(part, self.encode_units([u.replace(" ", SPACE) for u in part]), strict=True))
+        cuts = [self.cut(u.replace(" ", SPACE)) for u in new]
+        if len(self.parts) > KNOWN:
+            self.parts = {}
+        parts = list({p for c in cuts for p in c}.difference(self.parts))
+        for i in range(0, len(parts), BATCH):
+            own = parts[i : i + BATCH]
+            self.parts.update(zip(own, self.encode_units(own), strict=True))
+        get = self.parts.__getitem__
+        self.units.update((u, b"".join(map(get, c))) for u, c in zip(new, cuts, strict=True))
         return [b"".join(map(self.units.__getitem__, x)) for x in split]
 
     def decode(self, ids: bytes) -> str:
@@ -236,7 +266,7 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     """One row per row of docs: id_col, n_pieces, ids_crc32, round_trip (decoding gives the text), ids (empty without with_ids).
 
     model: the content of a sentencepiece model file of type BPE, without normalisation rules."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1024)  # a batch's new units share one index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher(model)
