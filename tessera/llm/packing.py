@@ -3,8 +3,9 @@
 Context tiers are powers of two up to the longest. Each document is cut into full windows of the longest tier and a
 rest; the rest is routed to the smallest tier that holds it. Tiers are packed from long to short: each rest opens a
 window of its tier, and the gap is filled with the longest rests of shorter tiers that fit, then by the head of one
-more rest, cut to measure if the gap is at least CUT ids; so a window ends at its tier's length exactly, but for the
-last few of a task. The shortest tier is filled one document after the other. Windows are dealt to step groups of
+more rest, cut to measure if the gap is at least CUT ids; so a window ends at its tier's length exactly. When
+rests run out, what the unfinished windows hold is cut into windows of powers of two, the last of them shorter than the
+shortest tier; no window is padded. The shortest tier is filled one document after the other. Windows are dealt to step groups of
 equal length and like attention cost: in descending order of the sum of squared piece lengths, to and fro.
 
 One pass: texts are read, encoded and packed in one task and nothing is shuffled; a task holds at most HELD ids at a
@@ -178,13 +179,26 @@ class Packer:
                         if n > take:
                             insort(rests, (n - take, d, at + take))
                 windows.append((tier, pieces))
-        return windows
-
-    @staticmethod
-    def fitted(tier: int, pieces: list[tuple[int, int, int]]) -> int:
-        """The context that the window needs: the least power of two that holds it."""
-        n = sum(p[2] for p in pieces)
-        return min(tier, 1 << (n - 1).bit_length())
+        return self._closed(windows)
+
+    def _closed(self, windows: list[tuple[int, list[tuple[int, int, int]]]]) -> list[tuple[int, list[tuple[int, int, int]]]]:
+        """windows, with what lies in windows that ran out of rests dealt to windows of powers of two, so nothing is padded."""
+        full = [w for w in windows if sum(p[2] for p in w[1]) == w[0]]
+        left = [p for w in windows if sum(p[2] for p in w[1]) < w[0] for p in w[1]]
+        total = sum(p[2] for p in left)
+        while total:
+            size = room = min(self.longest, 1 << (total.bit_length() - 1))
+            pieces = []
+            while room:
+                d, at, n = left.pop(0)
+                take = min(n, room)
+                pieces.append((d, at, take))
+                room -= take
+                if n > take:
+                    left.insert(0, (d, at + take, n - take))
+            full.append((size, pieces))
+            total -= size
+        return full
 
 
 def groups(costs: list[tuple[int, int]], size: int = GROUP) -> list[int]:
@@ -219,7 +233,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, n_held, next_sequence, next_group
             windows = packer.pack([(i, ids) for i, (_, ids) in enumerate(held)])
-            contexts = [packer.fitted(t, p) for t, p in windows]
+            contexts = [t for t, _ in windows]
             group = groups([(c, sum(x[2] ** 2 for x in p)) for c, (_, p) in zip(contexts, windows, strict=True)])
             rows = []
             for w, ((_, pieces), context) in enumerate(zip(windows, contexts, strict=True)):
