@@ -109,7 +109,7 @@ def barycentre(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     w = vectors.sharpened(o, "o_custkey", "n", 2.0)
     at = F.ascii("o_orderpriority") - F.lit(49)
-    return w.groupBy("o_custkey").agg(F.round(F.sum(F.col("weight") * at), 5).alias("x"), F.round(F.sum(F.col("weight") * at * at), 5).alias("y"))
+    return w.groupBy("o_custkey").agg(F.round(F.sum(F.col("weight") * at), 6).alias("x"), F.round(F.sum(F.col("weight") * at * at), 6).alias("y"))
 
 
 def force_layout(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,7 +209,7 @@ SELECT work_id, yr::INT AS year, CASE WHEN yr IS NULL THEN 'none' WHEN coalesce(
 j AS (SELECT vec_id, label_c AS label, round(list_cosine_similarity(embedding::DOUBLE[], centroid), 6) AS cosine FROM embeddings, (SELECT label AS label_c, centroid FROM c))
 SELECT vec_id, rank::INT AS rank, label, cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, label) AS rank FROM j) WHERE rank <= 3""",
     "barycentre": """WITH o AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), p AS (SELECT *, power(n / max(n) OVER (PARTITION BY o_custkey)::DOUBLE, 2) AS w FROM o), w AS (SELECT *, round(w / sum(w) OVER (PARTITION BY o_custkey), 6) AS weight, ascii(o_orderpriority) - 49 AS pos FROM p)
-SELECT o_custkey, round(sum(weight * pos), 5) AS x, round(sum(weight * pos * pos), 5) AS y FROM w GROUP BY 1""",
+SELECT o_custkey, round(sum(weight * pos), 6) AS x, round(sum(weight * pos * pos), 6) AS y FROM w GROUP BY 1""",
     "contract_violations": """SELECT 'line_order' AS rule, l_orderkey::VARCHAR AS key, l_partkey::VARCHAR AS detail FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 2)
 UNION ALL SELECT 'order_customer', o_orderkey::VARCHAR, o_custkey::VARCHAR FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'discount_range', l_orderkey::VARCHAR, l_linenumber::VARCHAR FROM lineitem WHERE NOT l_discount BETWEEN 0.0::DOUBLE AND 0.09::DOUBLE
