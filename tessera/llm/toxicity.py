@@ -28,6 +28,8 @@ from .common import small_batches, whole
 from .labels import held_out, sample
 
 N, BITS, PER_CLASS, KNOWN = (2, 3, 4, 5, 6), 18, 2500, 500_000
+#: Words whose n-grams are spelt out at once, so memory does not grow with a batch's new words.
+BLOCK = 16_384
 AROUND = ".,;:!?\"'()[]{}<>*%$#&|-_=+/\\~`^@"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,10 +58,11 @@ class Model:
     intercept: float
 
     def of_words(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.empty(0)
-        features, owners = grams(words)
-        return np.bincount(owners, weights=self.weights[features], minlength=len(words))
+        parts = [np.empty(0)]
+        for i in range(0, len(words), BLOCK):
+            features, owners = grams(words[i : i + BLOCK])
+            parts.append(np.bincount(owners, weights=self.weights[features], minlength=len(words[i : i + BLOCK])))
+        return np.concatenate(parts)
 
 
 def train(texts: list[str], y: np.ndarray, rate: float, steps: int = 100, l2: float = 1e-5, smooth: float = 10.0, rate_of: float = 0.05) -> Model:
@@ -72,10 +75,21 @@ def train(texts: list[str], y: np.ndarray, rate: float, steps: int = 100, l2: fl
     doc = np.repeat(np.arange(len(held)), [len(x) for x in held])
     word = np.concatenate(held) if held else np.empty(0, dtype=np.int64)
     norm = np.sqrt(np.maximum(np.array([len(x) for x in held]), 1))
-    features, owners = grams(list(number))
-    size = 1 << BITS
+    size, words = 1 << BITS, list(number)
+    # first word, n-grams' features, their words in the block: 8 bytes an n-gram are kept, the rest is a block's
+    blocks = []
+    for i in range(0, len(words), BLOCK):
+        features, owners = grams(words[i : i + BLOCK])
+        blocks.append((slice(i, min(i + BLOCK, len(words))), features, owners.astype(np.int32)))
+
+    def per_feature(of_word: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(f, weights=of_word[at][o], minlength=size) for at, f, o in blocks), np.zeros(size))
+
+    def per_word_of(of_feature: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.empty(0), *(np.bincount(o, weights=of_feature[f], minlength=at.stop - at.start) for at, f, o in blocks)])
+
     per_word = [np.bincount(word[y[doc] == c], minlength=len(number)) for c in (0, 1)]
-    low, high = (np.bincount(features, weights=n[owners], minlength=size) for n in per_word)
+    low, high = (per_feature(n) for n in per_word)
     share_high, share_low = high.sum() / (high.sum() + low.sum()), low.sum() / (high.sum() + low.sum())
     # smoothed by the classes' own sizes, so a feature that was never seen has ratio 0
     ratio = np.log((high + smooth * share_high) / (low + smooth * share_low)) - np.log(share_high / share_low)
@@ -84,11 +98,11 @@ def train(texts: list[str], y: np.ndarray, rate: float, steps: int = 100, l2: fl
     w, b = np.zeros(size), float(np.log(rate / (1 - rate)))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, steps + 1):
-        of_word = np.bincount(owners, weights=(w * ratio)[features], minlength=len(number))
+        of_word = per_word_of(w * ratio)
         z = np.bincount(doc, weights=of_word[word], minlength=len(held)) / norm + b
         slope = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         down = np.bincount(word, weights=(slope / norm)[doc], minlength=len(number))
-        g = np.bincount(features, weights=down[owners], minlength=size) * ratio + l2 * w
+        g = per_feature(down) * ratio + l2 * w
         gb = slope.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
