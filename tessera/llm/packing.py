@@ -12,7 +12,8 @@ One pass: texts are read, encoded and packed in one task and nothing is shuffled
 time, so long or many documents only mean more rounds. A task computes the same pieces when it is run again.
 
 Encoding is the tokenizer's own, per run of non-space characters: its rules drop white space and never look across it,
-so the ids of a text are those of its runs; a worker remembers up to KNOWN runs and pieces of runs.
+so the ids of a text are those of its runs; a worker remembers up to KNOWN runs
+and pieces of runs, and those of the BLOCK at hand.
 
 Defined cases: a null or empty text is a document with the end id only; rows are documents, repeated or not; ids are
 carried as they are, null too; an empty table gives an empty result; other columns are ignored.
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, whole
 
 LONGEST, SHORTEST, CUT = 2048, 256, 32
-#: Ids that a task gathers before it packs, and runs of characters whose ids it remembers.
-HELD, KNOWN = 4_000_000, 800_000
+#: Ids that a task gathers before it packs, runs of characters whose ids it remembers, and characters it encodes at once.
+HELD, KNOWN, BLOCK = 4_000_000, 500_000, 1 << 22
 GROUP = 64
 
 
@@ -66,16 +67,14 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.runs: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"\n": self.MARK}
+        self.runs: dict[str, bytes] = {"\n": self.MARK}
         self.odd: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn_pieces(self, new: list[str]) -> None:
-        if len(self.pieces) + len(new) > KNOWN:
-            self.pieces = {"\n": self.MARK}
+        """A piece is a run too, of itself only."""
         for at in range(0, len(new), 65536):
             chunk = new[at : at + 65536]
             got = self.bare.encode_batch([" ".join(chunk[i : i + 512]) for i in range(0, len(chunk), 512)], add_special_tokens=False)
@@ -84,28 +83,36 @@ class Encoder:
             if len(stops) != len(chunk):
                 raise ValueError("the tokenizer does not mark the ends of its pieces")
             data = ids.tobytes()
-            self.pieces.update((x, data[i:j]) for x, i, j in zip(chunk, [0, *stops], stops, strict=False))
+            self.runs.update((x, data[i:j]) for x, i, j in zip(chunk, [0, *stops], stops, strict=False))
 
     def _learn_runs(self, new: list[str]) -> None:
-        if len(self.runs) + len(new) > KNOWN:
-            self.runs = {}
         found = self.PIECE("\n".join(new))
-        distinct = set(found)
-        if missing := list(distinct.difference(self.pieces)):
+        if missing := list(set(found).difference(self.runs)):
             self._learn_pieces(missing)
-            if missing := list(distinct.difference(self.pieces)):  # the table was emptied
-                self._learn_pieces(missing)
-        self.runs.update(zip(new, b"".join(map(self.pieces.__getitem__, found)).split(self.MARK), strict=True))
+        self.runs.update(zip(new, b"".join(map(self.runs.__getitem__, found)).split(self.MARK), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < BLOCK:
+                size += len(texts[end])
+                end += 1
+            out += self._block(texts[at:end])
+            at = end
+        return out
+
+    def _block(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         plain = [i for i, t in enumerate(texts) if not self.ODD(t)]
         split = [texts[i].lower().split() for i in plain]
         distinct = set().union(*split)
-        if missing := list(distinct.difference(self.runs)):
-            self._learn_runs(missing)
-            if missing := list(distinct.difference(self.runs)):
-                self._learn_runs(missing)
+        missing = distinct.difference(self.runs)
+        if len(self.runs) + len(missing) > KNOWN:
+            self.runs, missing = {"\n": self.MARK}, distinct
+        if missing:
+            self._learn_runs(list(missing))
         get = self.runs.__getitem__
         for i, x in zip(plain, split, strict=True):
             out[i] = b"".join(map(get, x))

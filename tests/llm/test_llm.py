@@ -161,6 +161,16 @@ def test_packing(spark, sf, odd, none):
     assert packing.pack_documents(none, file, 1).count() == 0
 
 
+def test_small_tables_encode_alike(spark, sf, monkeypatch):
+    encoder = packing.Encoder(queries.tokenizer_file("word_bpe_49k.json").decode())
+    rows = [*texts(spark, sf).values(), "", "it's (\"'s) 'tis\nA1b2", "é\u3000漢字\x1cx"]
+    want = encoder._whole(rows)
+    assert encoder.batch(rows) == want
+    monkeypatch.setattr(packing, "KNOWN", 50)
+    monkeypatch.setattr(packing, "BLOCK", 200)
+    assert encoder.batch(rows) == want
+
+
 def test_groups_are_balanced():
     costs = [(256, i) for i in range(200)]
     g = packing.groups(costs, 64)
