@@ -166,8 +166,8 @@ def ev_session(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def smith_waterman(spark: SparkSession, sf: str) -> DataFrame:
-    """Agreement and identity of each user's tokens with the next user's."""
-    t = _token_rows(spark, sf).withColumn("tokens", F.slice("tokens", 1, 60))
+    """Agreement and identity of each user's tokens, all of them, with the next user's."""
+    t = _token_rows(spark, sf)
     j = t.alias("x").join(t.alias("y"), F.col("y.user_id") == F.col("x.user_id") + 1).select(F.col("x.user_id").alias("a"), F.col("y.user_id").alias("b"), F.col("x.tokens").alias("ta"), F.col("y.tokens").alias("tb"))
     return j.select("a", "b", align.agreement_column("ta", "tb").alias("agreement"), align.identity_column("ta", "tb").alias("identity"), F.size(align.hits_column("ta", "tb")).alias("n_hits"))
 
