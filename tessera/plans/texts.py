@@ -117,8 +117,9 @@ def substring_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_sort_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of distinct names: the measure ignores the order of words, so no beginning blocks it."""
     s = table(spark, sf, "part").select("p_name").distinct()
-    j = s.select(F.col("p_name").alias("x")).join(s.select(F.col("p_name").alias("y")), F.substring("x", 1, 1) == F.substring("y", 1, 1)).filter("x < y")
+    j = s.select(F.col("p_name").alias("x")).crossJoin(s.select(F.col("p_name").alias("y"))).filter("x < y")
     return j.select("x", "y", linkage.ratio_column("x", "y").alias("ratio"))
 
 

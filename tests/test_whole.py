@@ -3,7 +3,7 @@
 import pandas as pd
 
 from tessera import registry
-from tessera.operators import align
+from tessera.operators import align, linkage
 
 
 def plain_agreement(a, b, match=2.0, mismatch=-1.0, open_=3.0, extend=0.3):
@@ -31,3 +31,11 @@ def test_smith_waterman_aligns_whole_sequences(spark, sf):
         x, y = tokens[p[0]], tokens[p[1]]
         assert abs(got[p].agreement - plain_agreement(x, y)) < 1e-5
         assert got[p].identity == align.global_identity(x, y) and got[p].n_hits == len(align.local_hits(x, y))
+
+
+def test_token_sort_ratio_scores_all_pairs(spark, tmp_path):
+    names = ["cold widget", "old widget", "bolt small", "small bolt", "plate"]
+    pd.DataFrame({"p_name": names + names[:2]}).to_parquet(tmp_path / "part.parquet")
+    got = {(r.x, r.y): r.ratio for r in registry.queries()["token_sort_ratio"](spark, str(tmp_path)).collect()}
+    assert got == {(x, y): linkage.token_sort_ratio(x, y) for x in names for y in names if x < y}
+    assert got["bolt small", "small bolt"] == 100 and got["cold widget", "old widget"] > 95
