@@ -1,6 +1,6 @@
 """Licence scans by canonical digest lookup.
 
-A text's canonical form has A-Z in lower case, lines that begin with a copyright sign or word taken out, ASCII
+A text's canonical form has A-Z in lower case, copyright notices (lines, see NOTICE_LINE) taken out, ASCII
 punctuation and white space as single spaces, and equivalent spellings made one. The SHA-256 of the whole canonical
 text is looked up among the digests of known licence texts; the same holds line by line for known one-line notices.
 All of it is column expressions; the table of known texts is fixed, so the lookup is a broadcast hash join.
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ascii_lower, whole
+from .licence_texts import DIGESTS, MORE
 
 #: Spellings taken as equal, each with a space on both sides of the word's beginning.
 SPELLINGS = ((" licence", " license"), (" sub license", " sublicense"), (" organisation", " organization"), (" authorisation", " authorization"), (" non infringement", " noninfringement"), (" favour", " favor"), (" https ", " http "))
@@ -38,6 +39,8 @@ _BSD2 = """Redistribution and use in source and binary forms, with or without mo
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 #: Known whole texts (without title and copyright lines), and one-line notices.
 TEXTS = (("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n\n" + _ISC), ("BSD-2-Clause", _BSD2), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD2))
+#: With those that the SQL does not know.
+ALL_TEXTS = TEXTS + MORE + tuple(("BSD-2-Clause", title + "All rights reserved.\n\n" + _BSD2) for title in ("", "BSD 2-Clause License\n\n"))
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -48,13 +51,17 @@ NOTICES = (
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 )
+#: Of the SQL, which takes out every line that begins so; the query takes out notices only.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: A sign or word and then a sign, a year, a blank to fill in or a holder; not the word in running text, nor a point (c) of a list.
+_NO_HOLDER = r"[ \t]+(?:notices?|holders?|owners?|ownership|laws?|licen[cs]es?|licen[cs]ors?|statements?|interests?|treat(?:y|ies)|rights?|protection|infringements?|disclaimers?|permission|patents?|trademarks?|and|or|of|in|on|is|are|to|for|this|that|which|by this|as|under|with|shall|may|will|must)\b"
+NOTICE_LINE = r"(^|\n)[ \t]*(?:copyright\b(?![ \t]*(?:\n|$))(?!" + _NO_HOLDER + r")|\(c\)[ \t]*(?:copyright\b|©|[12][0-9]{3})|©)[^\n]*"
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
 def canonical(text: Column, lowered: bool = False) -> Column:
     """One space at either end."""
-    plain = F.regexp_replace(F.regexp_replace(text if lowered else ascii_lower(text), COPYRIGHT_LINE, "$1"), PUNCTUATION, " ")
+    plain = F.regexp_replace(F.regexp_replace(text if lowered else ascii_lower(text), NOTICE_LINE, "$1"), PUNCTUATION, " ")
     spaced = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), SPELLINGS, spaced)
 
@@ -63,10 +70,14 @@ def digest(text: Column, lowered: bool = False) -> Column:
     return F.sha2(canonical(text, lowered), 256)
 
 
-def known(docs: DataFrame, texts: tuple = TEXTS) -> DataFrame:
-    """licence, digest."""
+def known(docs: DataFrame, texts: tuple = ALL_TEXTS, digests: tuple = ()) -> DataFrame:
+    """licence, digest; of texts, and as given."""
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(t).alias("t")) for n, t in texts]))
-    return docs.sparkSession.range(1).select(rows.alias("r")).select("r.licence", digest(F.col("r.t")).alias("digest")).distinct()
+    found = docs.sparkSession.range(1).select(rows.alias("r")).select("r.licence", digest(F.col("r.t")).alias("digest"))
+    if digests:
+        given = F.explode(F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(d).alias("digest")) for n, d in digests]))
+        found = found.unionByName(docs.sparkSession.range(1).select(given.alias("r")).select("r.licence", "r.digest"))
+    return found.distinct()
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,7 +87,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = F.create_map(*[F.lit(x) for p in notices.items() for x in p])
     lines = F.filter(F.transform(F.split("_t", "\n", -1), lambda x: F.try_element_at(names, digest(x, lowered=True))), lambda x: x.isNotNull())
     rows = rows.select(id_col, digest(F.col("_t"), lowered=True).alias("digest"), lines.alias("_n"))
-    found = rows.join(F.broadcast(known(docs)), "digest", "left")  # at most len(TEXTS) rows
+    found = rows.join(F.broadcast(known(docs, digests=DIGESTS)), "digest", "left")  # a row a known text
     return found.select(id_col, "digest", "licence", F.size("_n").cast("long").alias("n_notices"), F.concat_ws(",", F.array_sort(F.array_distinct("_n"))).alias("notices"))
 
 
