@@ -8,9 +8,11 @@ it names keys at all, whether it has base matches). It is trained on the driver
 log-likelihood (forward-backward), from at most SAMPLE texts drawn by hash of the text, tagged by the base patterns,
 together with MADE sentences made from a fixed seed with assignments that the base patterns miss; decoding is Viterbi.
 
-By construction a secret begins at a token of LEAST or more characters with a digit, and goes on only while no white
-space intervenes. Elsewhere every path of the field is outside, so Viterbi runs over the neighbourhoods of such tokens
-and the rest of the text needs no decoding; that is exact, not a cut.
+A secret begins at any token of key characters (length and digits are features, no bar) and goes on only while no
+white space intervenes. All tokens get their scores. A word (between white space) in which no span can be worth more
+than staying outside, by a bound on its tokens' scores and the moves, is outside on the best path whatever stands
+around it; Viterbi runs over the other words, with the certain tags on either side, so it finds the whole text's path.
+Training takes stretches of the texts only, see near().
 
 Spans are in code points, end exclusive. Field spans that overlap a base span are left out, so base spans stay as they are.
 
@@ -26,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from math import log2
 
 import numpy as np
@@ -42,8 +45,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "field")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=\-]+|[^\sA-Za-z0-9+/_.=\-]")
 DIGITS = re.compile(r"[0-9]+")
+WORD = re.compile(r"\S+")
 KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+NAMED = re.compile("password|passwd|pwd|secret|token|api_?key|bearer|credential|passphrase", re.IGNORECASE)
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "private", "access", "login", "passphrase", "session")
+NAMELIKE = re.compile("|".join(NAMES))
+#: Characters of a class as one, but for those that begin brief()'s names.
+CLASSES = {ord(c): "l" if c.islower() else "u" if c.isupper() else "0" if c.isdigit() else c for c in KEY_CHARS}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -68,6 +76,10 @@ def shape(token: str) -> list[str]:
     return [f"len{min(n, 48) // 4}", f"cls{classes}", f"ent{int(entropy * 2)}", f"turn{min(turns, 12) // 2}", f"{classes}{min(n, 48) // 8}{min(turns, 12) // 3}"]
 
 
+def strong(token: str) -> bool:
+    return len(token) >= LEAST and any(c.isdigit() for c in token)
+
+
 def brief(token: str | None) -> str:
     if token is None:
         return "edge"
@@ -88,8 +100,7 @@ class Tokens:
     gap: list[bool]  # white space, or the beginning, before it
 
     def may_begin(self, i: int) -> bool:
-        t = self.text[i]
-        return len(t) >= LEAST and any(c.isdigit() for c in t)
+        return self.text[i][0] in KEY_CHARS
 
 
 def tokens(text: str, low: int = 0, high: int | None = None) -> Tokens:
@@ -115,7 +126,7 @@ def token_features(t: Tokens, i: int, file: list[str], memo: dict[str, int]) ->
     at = lambda k: t.text[k] if 0 <= k < len(t.text) else None
     b1, b2, a1 = brief(at(i - 1)), brief(at(i - 2)), brief(at(i + 1))
     b3 = brief(at(i - 3))
-    names = [*shape(t.text[i]), f"own{brief(t.text[i])}", f"p1{b1}", f"p2{b2}", f"p12{b1}|{b2}", f"p123{b1}|{b2}|{b3}", f"n1{a1}", f"gap{t.gap[i]}", f"begin{t.may_begin(i)}", *file, "bias"]
+    names = [*shape(t.text[i]), f"own{brief(t.text[i])}", f"p1{b1}", f"p2{b2}", f"p12{b1}|{b2}", f"p123{b1}|{b2}|{b3}", f"n1{a1}", f"gap{t.gap[i]}", f"begin{strong(t.text[i])}", *file, "bias"]
     out = []
     for n in names:
         k = memo.get(n)
@@ -130,6 +141,9 @@ class Field:
     emit: np.ndarray  # (features, 3); tags: 0 outside, 1 begin, 2 inside
     move: np.ndarray  # (3, 3)
 
+    def score(self, *names: str) -> np.ndarray:
+        return self.emit[[_number(n) for n in names]].sum(axis=0)
+
     def tags(self, t: Tokens, numbers: list[list[int]]) -> list[int]:
         """Viterbi."""
         score, back = None, []
@@ -151,6 +165,157 @@ class Field:
         return out[::-1]
 
 
+class Rows:
+    """Growing rows of numbers by key."""
+
+    def __init__(self, width: int) -> None:
+        self.at: dict = {}
+        self.values = np.zeros((1024, width))
+
+    def add(self, key: object, row: object) -> int:
+        k = self.at[key] = len(self.at)
+        if k == len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[k] = row
+        return k
+
+
+class Decoder:
+    """The field's best path over whole texts; what a token, a word or a context is worth is kept between texts."""
+
+    KEPT = 200_000
+
+    def __init__(self, field: Field) -> None:
+        self.field = field
+        m = field.move
+        self.enter = max(0.0, float((m[:, 1] - m[:, 0]).max()))
+        self.leave = max(0.0, float((m[1:, :2] - m[0, :2]).max()))
+        self.stay = float(max(m[1, 2], m[2, 2]) - m[0, 0])
+        self.slip = float(m[0, 2] - m[0, 0])
+        self.gap = np.array([field.score("gapFalse"), field.score("gapTrue")])
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, list[int]] = {}
+        self.shapes: dict[tuple, list] = {}
+        self.tokens = Rows(5)  # scores of the three tags, number of brief(), whether of key characters
+        self.context, self.after, self.briefs = Rows(3), Rows(3), {}
+        self.brief("edge")
+
+    def brief(self, name: str) -> int:
+        k = self.briefs.get(name)
+        if k is None:
+            k = self.briefs[name] = self.after.add(name, self.field.score(f"n1{name}"))
+        return k
+
+    def word(self, word: str) -> list[int]:
+        out = []
+        for t in TOKEN.findall(word):
+            k = self.tokens.at.get(t)
+            if k is None:
+                name = brief(t) if NAMELIKE.search(t.lower()) else ""
+                like = (t.translate(CLASSES), *map(t.count, dict.fromkeys(t)), name)  # all that the scores depend on
+                row = self.shapes.get(like)
+                if row is None:
+                    b = name or brief(t)
+                    row = self.shapes[like] = [*self.field.score(*shape(t), f"own{b}", f"begin{strong(t)}").tolist(), self.brief(b), t[0] in KEY_CHARS]
+                k = self.tokens.add(t, row)
+            out.append(k)
+        self.words[word] = out
+        return out
+
+    def before(self, b: np.ndarray) -> np.ndarray:
+        """Scores of the three tokens before each."""
+        p = [np.concatenate([np.zeros(min(k, len(b)), dtype=np.int64), b[: max(len(b) - k, 0)]]) for k in (1, 2, 3)]
+        code, where = np.unique(p[0] | p[1] << 20 | p[2] << 40, return_inverse=True)
+        own = []
+        names: list[str] | None = None
+        for c in code.tolist():
+            k = self.context.at.get(c)
+            if k is None:
+                names = names or list(self.briefs)
+                x, y, z = (names[c >> s & 0xFFFFF] for s in (0, 20, 40))
+                k = self.context.add(c, self.field.score(f"p1{x}", f"p2{y}", f"p12{x}|{y}", f"p123{x}|{y}|{z}"))
+            own.append(k)
+        return self.context.values[own][where]
+
+    def scores(self, words: list[str], file: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row of scores a token, whether it may begin, and each word's first token (with the end)."""
+        if max(len(self.words), len(self.tokens.at), len(self.context.at)) > self.KEPT:
+            self.clear()
+        known = self.words.get
+        own = [known(w) or self.word(w) for w in words]
+        ids = np.fromiter(chain.from_iterable(own), np.int64)
+        rows, starts = self.tokens.values[ids], np.cumsum([0, *map(len, own)])
+        b = rows[:, 3].astype(np.int64)
+        gap = np.zeros(len(ids), dtype=np.int64)
+        gap[starts[:-1]] = 1
+        e = rows[:, :3] + self.before(b) + self.after.values[np.append(b[1:], 0)] + self.gap[gap] + self.field.score(*file, "bias")
+        return e, rows[:, 4] > 0, starts
+
+    def hot(self, e: np.ndarray, begin: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The words in which a span may be worth more than staying outside."""
+        inside = np.maximum(e[:, 2] - e[:, 0] + self.stay, 0)
+        total = np.cumsum(inside)
+        last = np.repeat(total[starts[1:] - 1], np.diff(starts))
+        gain = np.where(begin, e[:, 1] - e[:, 0] + self.enter, -np.inf)
+        slip = e[:, 2] - e[:, 0] + self.slip  # the moves do not bar inside after outside
+        slip[starts[:-1]] = -np.inf
+        bound = np.maximum(gain, slip) + self.leave + last - total
+        return np.flatnonzero(np.maximum.reduceat(bound, starts[:-1]) >= -1e-6)
+
+    def path(self, e: np.ndarray, begin: np.ndarray, gap: set[int], low: int, high: int) -> list[int]:
+        """Viterbi over tokens low to high; those around are outside."""
+        m = self.field.move.tolist()
+        none, back = float("-inf"), []
+        score = [0.0, none, none]
+        for i in range(low, high):
+            new, own = [], []
+            for k in range(3):
+                if (k == 1 and not begin[i]) or (k == 2 and i in gap):
+                    best, of = none, 0
+                else:
+                    best, of = max(((score[j] + (m[j][k] if i else 0.0), -j) for j in range(3)), key=lambda x: x)
+                    of = -of
+                new.append(best + e[i, k])
+                own.append(of)
+            score = new
+            back.append(own)
+        ends = [s + (m[k][0] if high < len(e) else 0.0) for k, s in enumerate(score)]
+        out = [ends.index(max(ends))]
+        for own in reversed(back[1:]):
+            out.append(own[out[-1]])
+        return out[::-1]
+
+    def spans(self, text: str, file: list[str]) -> list[tuple[int, int]]:
+        words = text.split()
+        if not words:
+            return []
+        e, begin, starts = self.scores(words, file)
+        hot = self.hot(e, begin, starts).tolist()
+        if not hot:
+            return []
+        out: list[tuple[int, int]] = []
+        gap, at = set(starts[:-1].tolist()), [m.start() for m in WORD.finditer(text)]
+        runs: list[list[int]] = []
+        for w in hot:
+            if runs and runs[-1][1] == w:
+                runs[-1][1] = w + 1
+            else:
+                runs.append([w, w + 1])
+        for a, b in runs:
+            tags, was = iter(self.path(e, begin, gap, int(starts[a]), int(starts[b]))), 0
+            for w in range(a, b):
+                for m in TOKEN.finditer(words[w]):
+                    tag = next(tags)
+                    if tag == 1:
+                        out.append((at[w] + m.start(), at[w] + m.end()))
+                    elif tag == 2 and was:
+                        out[-1] = (out[-1][0], at[w] + m.end())
+                    was = tag if tag < 2 else was
+        return out
+
+
 NO_INSIDE = np.array([[0, 0, -1e9]] * 3)
 
 
@@ -163,36 +328,50 @@ def made(rng: np.random.Generator, n: int) -> list[tuple[str, list[tuple[int, in
     letters, alnum = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     word = lambda: "".join(rng.choice(list(letters), rng.integers(2, 9)))
     out = []
+    title = lambda: "".join(rng.choice(list(letters), rng.integers(3, 10))).title()
+    run = lambda of, low, high: "".join(rng.choice(list(of), rng.integers(low, high)))
+    names = ["pwd", "passphrase", "auth_key", "private_key", "credential", "bearer", "session_key", "login_pwd"]
     for i in range(n):
         head, tail = " ".join(word() for _ in range(rng.integers(2, 8))), " ".join(word() for _ in range(rng.integers(1, 6)))
-        value = "".join(rng.choice(list(alnum), rng.integers(16, 40)))
-        value = value[:-2] + "7" + value[-1]
         if i % 3 < 2:
-            name = rng.choice(["pwd", "passphrase", "auth_key", "private_key", "credential", "bearer", "session_key", "login_pwd"])
+            kind = i // 3 % 6
+            value = run(alnum, 16, 40)
+            value = value[:-2] + "7" + value[-1]
+            if kind == 2:
+                value = "".join(title() for _ in range(rng.integers(2, 5)))
+            elif kind == 3:
+                value = run(alnum[:52], 16, 40)
+            elif kind == 4:
+                value = f"{word()}{rng.integers(1, 1000)}"
+            elif kind == 5:
+                value = run(letters, 7, 20)
+            name = rng.choice(names)
             mid = rng.choice([" = ", ": ", "=", " := "])
             quote = rng.choice(['"', "'", ""])
+            if kind in (1, 3) and i % 3:
+                name, mid, quote = rng.choice(["Authorization: Bearer", "auth: Bearer", "Bearer", "bearer"]), " ", ""
             lead = f"{head} {name}{mid}{quote}"
             out.append((f"{lead}{value}{quote} {tail}", [(len(lead), len(lead) + len(value))]))
         else:
-            plain = rng.choice([f"{word()}{rng.integers(10, 9999)}", f"{rng.integers(10**9, 10**12)}", f"2021-0{rng.integers(1, 9)}-1{rng.integers(0, 9)}", f"{word()}.{word()}{rng.integers(1, 99)}@{word()}.com", f"+{rng.integers(10**10, 10**11)}", f"{rng.integers(10**7, 10**8)}{rng.integers(10**7, 10**8)}"])
+            plain = rng.choice([f"{word()}{rng.integers(10, 9999)}", f"{rng.integers(10**9, 10**12)}", f"2021-0{rng.integers(1, 9)}-1{rng.integers(0, 9)}", f"{word()}.{word()}{rng.integers(1, 99)}@{word()}.com", f"+{rng.integers(10**10, 10**11)}", f"{rng.integers(10**7, 10**8)}{rng.integers(10**7, 10**8)}", f"{title()}{title()}", f"{word()}: {word()}", f"{word()} = {title()}{title()}", f"the {rng.choice(names)} {word()}", f"{rng.choice(names)}, {word()}", f"a {rng.choice(['password', 'secret', 'token', 'key', 'bearer', 'session'])} {word()}", f"{run(letters, 8, 15)}.", f"{word()}://{word()}.com/{word()}"])
             out.append((f"{head} {plain} {tail}", []))
     return out
 
 
 def near(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around the tokens at which a secret may begin: three runs before, two after, joined if they touch."""
+    """For training, stretches around strong tokens and names of keys, joined if they touch."""
     spans: list[tuple[int, int]] = []
     done = 0
-    for m in DIGITS.finditer(text):
-        if m.start() < done:
+    for a, b in sorted([m.span() for m in DIGITS.finditer(text)] + [m.span() for m in NAMED.finditer(text)]):
+        if a < done:
             continue
-        a, b = m.span()
+        named = NAMED.match(text, a) is not None
         while a > 0 and text[a - 1] in KEY_CHARS:
             a -= 1
         while b < len(text) and text[b] in KEY_CHARS:
             b += 1
         done = b
-        if b - a < LEAST:
+        if b - a < LEAST and not named:
             continue
         low, high = max(0, a - 80), min(len(text), b + 80)
         while low > 0 and not text[low - 1].isspace() and a - low < 4096:
@@ -226,14 +405,17 @@ def train(texts: list[str], steps: int = 40, seed: int = 5) -> Field:
         secrets = [_value(m) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8] + [(a, b) for a, b, k in base if k != "assign"]
         for low, high in near(text)[:50]:  # of a training text; the scan itself takes all
             add(text, file_features(text, base), secrets, low, min(high, low + 4000))
+        add(text, file_features(text, base), secrets, 0, min(len(text), 600))  # any text: most words are outside
     for text, secrets in made(rng, MADE):
         add(text, file_features(text, []), secrets)
     field = Field(np.zeros((1 << BITS, 3)), np.zeros((3, 3)))
     rows.sort(key=lambda r: len(r[1]))
     width = len(rows[0][0][0])
     batches = []
-    for at in range(0, len(rows), 1024):
-        part = rows[at : at + 1024]
+    at = 0
+    while at < len(rows):
+        part = rows[at : at + max(1, min(1024, 100_000 // len(rows[min(at + 1023, len(rows) - 1)][1])))]
+        at += len(part)
         n, steps_in = len(part), max(len(r[1]) for r in part)
         x, y = np.zeros((n, steps_in, width), dtype=np.int32), np.zeros((n, steps_in), dtype=np.int64)
         real, bar = np.zeros((n, steps_in)), np.zeros((n, steps_in, 3, 3))
@@ -288,24 +470,15 @@ def _slope(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndar
     return [g_emit, g_move]
 
 
-def field_spans(text: str, field: Field, base: list[tuple[int, int, str]], memo: dict[str, int]) -> list[tuple[int, int, str]]:
-    out = []
-    stretches = near(text)
-    file = file_features(text, base) if stretches else []
-    for low, high in stretches:
-        t = tokens(text, low, high)
-        tags = field.tags(t, [token_features(t, i, file, memo) for i in range(len(t.text))])
-        spans: list[list[int]] = []
-        for x, s, tag in zip(t.text, t.start, tags, strict=True):
-            if tag == 1:
-                spans.append([s, s + len(x)])
-            elif tag == 2 and spans:
-                spans[-1][1] = s + len(x)
-        out += [(a, b, "field") for a, b in spans if not any(a < y and x < b for x, y, _ in base)]
-    return out
+def field_spans(text: str, field: Field, base: list[tuple[int, int, str]], memo: dict) -> list[tuple[int, int, str]]:
+    decoder = memo.get("decoder")
+    if decoder is None or decoder.field is not field:
+        decoder = memo["decoder"] = Decoder(field)
+    found = decoder.spans(text, file_features(text, base))
+    return [(a, b, "field") for a, b in found if not any(a < y and x < b for x, y, _ in base)]
 
 
-def all_spans(text: str, field: Field, memo: dict[str, int]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def all_spans(text: str, field: Field, memo: dict) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all."""
     base = base_spans(text)
     return base, sorted([*base, *field_spans(text, field, base, memo)], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
@@ -334,7 +507,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = _shared(docs.sparkSession, field or fit(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        memo: dict = {}
         for batch in batches:
             rows = []
             for text in batch.column("t").to_pylist():
@@ -356,7 +529,7 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
     size_at = docs.columns.index(size_col) if size_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        memo: dict = {}
         for batch in batches:
             texts = batch.column(at).to_pylist()
             sizes = batch.column(size_at).to_pylist() if size_at is not None else []
