@@ -39,3 +39,10 @@ def test_token_sort_ratio_scores_all_pairs(spark, tmp_path):
     got = {(r.x, r.y): r.ratio for r in registry.queries()["token_sort_ratio"](spark, str(tmp_path)).collect()}
     assert got == {(x, y): linkage.token_sort_ratio(x, y) for x in names for y in names if x < y}
     assert got["bolt small", "small bolt"] == 100 and got["cold widget", "old widget"] > 95
+
+
+def test_substring_match_compares_whole_passages(spark, tmp_path):
+    text = "a passage that is a good deal longer than forty characters, to its end"
+    pd.DataFrame({"item_id": [1], "text": [text]}).to_parquet(tmp_path / "benchmark.parquet")
+    pd.DataFrame({"doc_id": [1, 2], "text": [f"x {text} y", f"x {text[:50]} and then something else"]}).to_parquet(tmp_path / "documents.parquet")
+    assert [r.doc_id for r in registry.queries()["substring_match"](spark, str(tmp_path)).collect()] == [1]
