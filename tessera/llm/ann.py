@@ -4,29 +4,27 @@ PIVOTS rows, those with the smallest hash of the id, are the pivots and go to al
 is represented by its PREFIX nearest pivots in order. Rows are dealt by hash of the id to blocks of about BLOCK
 rows; a block posts each of its vectors in the inverted file of every pivot of its prefix, with the position. A query
 adds, list by list, what the footrule distance to each posted vector falls short of its greatest value:
-2 x min(PREFIX - own position, PREFIX - its position). The best SHARE of the block's rows by footrule, and at least
-LEAST of them, are then measured exactly; the ten nearest of each block are merged. What is measured grows with the
-rows, so recall does not fall with their number. Every block gets the whole query set, a stated one.
+2 x min(PREFIX - own position, PREFIX - its position). The best of the block's rows by footrule are then measured
+exactly; the ten nearest of each block are merged. The share that is measured is ROOT over the root of the number of all
+rows, and SHARE at least: it falls with the size of the table, as rankings of more rows are told apart by the same
+footrule, but no further than SHARE. Every block gets the whole query set, a stated one, ASKED queries a task.
 
 Defined cases: vectors that are null, zero, of another length than most or hold null or non-finite components take no
-part; rows without id take no part; rows repeated with one id and vector count once, and no row with the query's id is
-its neighbour; ties go to the smaller id; with fewer candidates than k all are returned; an empty table gives an empty
-result; other columns are ignored.
+part; rows without id take no part; rows repeated with one id and vector count once; of an id with several vectors all
+are candidates, an answer names the id once, with its nearest vector, and the least vector in array order is what is
+asked; no row with the query's id is its neighbour; ties go to the smaller id; with fewer candidates than k all are
+returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
-PIVOTS, PREFIX, BLOCK = 256, 64, 8192
-SHARE, LEAST = 0.25, 512
+PIVOTS, PREFIX, BLOCK, ASKED = 512, 128, 32_768, 16_384
+SHARE, ROOT = 0.02, 4.5
 
 
 def usable(vector: Column) -> Column:
@@ -38,57 +36,71 @@ def usable(vector: Column) -> Column:
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Numbers of each vector's nearest pivots, nearest first, ties by number."""
-    d = (pivots**2).sum(axis=1)[None] - 2 * vectors @ pivots.T
-    return np.argsort(d, axis=1, kind="stable")[:, :prefix]
-
-
-def search_block(ids: np.ndarray, rows: np.ndarray, queries: list[tuple[int, np.ndarray]], pivots: np.ndarray, prefix: int, share: float, least: int, k: int) -> list[tuple[int, int, float]]:
-    """query id, id, distance: up to k a query."""
-    order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
-    perm = nearest_pivots(rows, pivots, prefix)
-    near = prefix - np.arange(perm.shape[1])
-    flat = np.argsort(perm.ravel(), kind="stable")
-    stops = np.searchsorted(perm.ravel()[flat], np.arange(len(pivots) + 1))
-    holder, weight = (flat // perm.shape[1]).astype(np.int32), near[flat % perm.shape[1]].astype(np.int32)
-    n = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
-    asked = nearest_pivots(np.array([q for _, q in queries]), pivots, prefix)
-    out = []
-    for (qid, q), own in zip(queries, asked, strict=True):
-        short = np.zeros(len(ids), dtype=np.int32)
+    out = [np.empty((0, min(prefix, len(pivots))), dtype=np.int16)]
+    for at in range(0, len(vectors), 4096):
+        d = (pivots**2).sum(axis=1)[None] - 2 * vectors[at : at + 4096] @ pivots.T
+        out.append(np.argsort(d, axis=1, kind="stable")[:, :prefix].astype(np.int16))
+    return np.concatenate(out)
+
+
+class Block:
+    """The inverted files of some rows."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, pivots: np.ndarray, prefix: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.rows, self.pivots, self.prefix = ids[order], rows[order], pivots, prefix
+        perm = nearest_pivots(self.rows, pivots, prefix)
+        width = perm.shape[1]
+        flat = np.argsort(perm.ravel(), kind="stable").astype(np.int64)
+        self.stops = np.searchsorted(perm.ravel()[flat], np.arange(len(pivots) + 1))
+        self.holder, self.weight = (flat // width).astype(np.int32), (prefix - flat % width).astype(np.int16)
+
+    def search(self, qid: int, q: np.ndarray, own: np.ndarray, n: int, k: int) -> list[tuple[int, int, float]]:
+        """query id, id, distance: up to k, of the n rows that come first by footrule. own: the query's nearest pivots."""
+        short = np.zeros(len(self.ids), dtype=np.int32)
         for at, p in enumerate(own):
-            span = slice(stops[p], stops[p + 1])
-            short[holder[span]] += np.minimum(near[at], weight[span])
-        pick = np.arange(len(ids)) if n == len(ids) else np.argpartition(-short, n - 1)[:n]
-        pick = np.sort(pick[ids[pick] != qid])
-        d = np.sqrt(((rows[pick] - q) ** 2).sum(axis=1))
-        best = np.lexsort((ids[pick], d))[:k]
-        out += [(qid, int(ids[pick[i]]), float(d[i])) for i in best]
-    return out
-
-
-def permutation_search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, n_pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+            span = slice(self.stops[p], self.stops[p + 1])
+            short[self.holder[span]] += np.minimum(self.prefix - at, self.weight[span])  # a row stands in a list once
+        short[slice(*np.searchsorted(self.ids, [qid, qid + 1]))] = -1  # ids are sorted
+        n = min(n, len(short))
+        pick = np.arange(len(short)) if n == len(short) else np.sort(np.argpartition(-short, n - 1)[:n])
+        pick = pick[short[pick] >= 0]
+        d = np.sqrt(((self.rows[pick] - q) ** 2).sum(axis=1))
+        best: dict[int, float] = {}
+        for i in np.lexsort((self.ids[pick], d)):
+            best.setdefault(int(self.ids[pick[i]]), float(d[i]))
+            if len(best) == k:
+                break
+        return [(qid, i, x) for i, x in best.items()]
+
+
+def permutation_search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, n_pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, root: float = ROOT, block: int = BLOCK, asked: int = ASKED) -> DataFrame:
     """query_id, rank (from 1), id_col, score (Euclidean distance) of each query's k nearest found."""
-    spark = rows.sparkSession
-    small_batches(spark, 2048)
     vector = F.col(f"`{vector_col}`")
     good = rows.filter(usable(vector) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector.cast("array<double>").alias("v"), is_query.alias("q"))
-    size = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim, total = (size["d"], size["count"]) if size else (1, 0)
+    size = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("count"), F.count_if("q").alias("asked")).orderBy(F.desc("count"), "d").first()
+    dim, total, n_asked = (size["d"], size["count"], size["asked"]) if size else (1, 0, 0)
     good = good.filter(F.size("v") == dim)
     drawn = good.select("v", F.xxhash64("id", F.lit("pivot")).alias("h")).orderBy("h").limit(n_pivots).collect()
     pivots = np.array([r["v"] for r in drawn]).reshape(-1, dim)
     prefix = min(prefix, len(pivots))
-    n_blocks = max(1, round(total / block))
-    placed = good.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block")).dropDuplicates(["id", "v"])
-    queries = good.filter("q").select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")).dropDuplicates(["id", "block"])
-
-    def run(key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    measured = min(1.0, max(share, root / max(total, 1) ** 0.5))
+    n_blocks, n_parts = max(1, round(total / block)), max(1, -(-n_asked // asked))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    placed = good.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block")).dropDuplicates(["id", "v"]).withColumn("part", every(n_parts))
+    queries = good.filter("q").groupBy("id").agg(F.min("v").alias("v"))
+    queries = queries.select("id", "v", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(n_parts)).cast("int").alias("part"), every(n_blocks).alias("block"))
+
+    def run(key: tuple, held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, float]] = []
-        if len(held) and len(asked):
-            found = search_block(held["id"].to_numpy(), np.stack(held["v"].to_numpy()).astype(np.float64), list(zip(asked["id"].tolist(), np.stack(asked["v"].to_numpy()).astype(np.float64), strict=True)), pivots, prefix, share, least, k)
+        if len(held) and len(asking):
+            own = Block(held["id"].to_numpy(), np.stack(held["v"].to_numpy()).astype(np.float64), pivots, prefix)
+            at = np.stack(asking["v"].to_numpy()).astype(np.float64)
+            n = int(np.ceil(measured * len(held)))
+            for qid, q, near in zip(asking["id"].tolist(), at, nearest_pivots(at, pivots, prefix), strict=True):
+                found += own.search(qid, q, near, max(n, k), k)
         return pd.DataFrame(found, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
-    found = placed.groupBy("block").cogroup(queries.groupBy("block")).applyInPandas(run, "query_id long, id long, score double")
+    found = placed.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(run, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -39,7 +39,8 @@ def _sorted_cells(docs: DataFrame, id_col: str, text_col: str, carried: list) ->
     hot = hot.select("_ends", F.ceil(F.col("_n") / share).cast("int").alias("_cells"))
     rows = docs.select(*carried, F.col(id_col).cast("long").alias("_id"), lower.alias("_norm"), ends.alias("_ends"))
     rows = rows.join(F.broadcast(hot), "_ends", "left")  # at most SHARES x partitions rows
-    salt = F.when(F.col("_cells") > 1, F.pmod(F.xxhash64("_id"), F.col("_cells"))).otherwise(F.lit(0)).cast("int")
+    # rows without an id go by the partition they are read in, which a repeated task has too
+    salt = F.when(F.col("_cells") > 1, F.pmod(F.xxhash64(F.coalesce("_id", F.spark_partition_id().cast("long"))), F.col("_cells"))).otherwise(F.lit(0)).cast("int")
     rows = rows.select(*[F.col(c) for c in rows.columns if c not in ("_ends", "_cells")], F.coalesce("_cells", F.lit(1)).alias("_cells"), salt.alias("_salt"), F.substring("_norm", 1, SPLIT).alias("_head"), F.sha2("_norm", 256).alias("_sha"))
     return rows.repartitionByRange("_head", "_sha", "_salt")
 

@@ -12,8 +12,9 @@ One pass: texts are read, encoded and packed in one task and nothing is shuffled
 time, so long or many documents only mean more rounds. A task computes the same pieces when it is run again.
 
 Encoding is the tokenizer's own, per run of non-space characters: its rules drop white space and never look across it,
-so the ids of a text are those of its runs; a worker remembers up to KNOWN runs
-and pieces of runs, and those of the BLOCK at hand.
+so the ids of a text are those of its runs; a worker remembers up to KNOWN runs and pieces of runs with KNOWN_CHARS
+characters, and those of the BLOCK at hand. What stands for one of the tokenizer's added tokens in a text is that token, as
+the tokenizer has it by default; the text around it is encoded by itself.
 
 Defined cases: a null or empty text is a document with the end id only; rows are documents, repeated or not; ids are
 carried as they are, null too; an empty table gives an empty result; other columns are ignored.
@@ -25,6 +26,7 @@ import re
 import sys
 import zlib
 from bisect import bisect_right, insort
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole
+from .common import small, whole
 
 LONGEST, SHORTEST, CUT = 2048, 256, 32
 #: Ids that a task gathers before it packs, runs of characters whose ids it remembers, and characters it encodes at once.
-HELD, KNOWN, BLOCK = 4_000_000, 500_000, 1 << 22
+HELD, KNOWN, KNOWN_CHARS, BLOCK = 4_000_000, 500_000, 1 << 24, 1 << 22
 GROUP = 64
 
 
@@ -60,7 +62,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.bare = Tokenizer.from_str(text), Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = self.bare.encode_special_tokens = True
+        self.bare.encode_special_tokens = True
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
@@ -69,6 +71,12 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         self.runs: dict[str, bytes] = {"\n": self.MARK}
         self.odd: dict[str, bytes] = {}
+        self.chars = 0
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        #: Found in a text as they are, wherever they stand; others, with rules of their own, have the text encoded as one.
+        self.bare_added = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")", re.NOFLAG if self.bare_added else re.IGNORECASE)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -92,6 +100,20 @@ class Encoder:
         self.runs.update(zip(new, b"".join(map(self.runs.__getitem__, found)).split(self.MARK), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        if not self.added:
+            return self._plain(texts)
+        at = {i for i, t in enumerate(texts) if self.at_added.search(t)}
+        if not at:
+            return self._plain(texts)
+        if not self.bare_added:
+            rest = iter(self._plain([t for i, t in enumerate(texts) if i not in at]))
+            return [self._whole([t])[0] if i in at else next(rest) for i, t in enumerate(texts)]
+        split = [self.at_added.split(t) if i in at else [t] for i, t in enumerate(texts)]  # text, token, text, ...
+        rest = iter(self._plain([x for parts in split for x in parts[::2]]))
+        return [b"".join(self.added[x] if k % 2 else next(rest) for k, x in enumerate(parts)) for parts in split]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Of texts without added tokens."""
         out: list[bytes] = []
         at = 0
         while at < len(texts):
@@ -109,8 +131,9 @@ class Encoder:
         split = [texts[i].lower().split() for i in plain]
         distinct = set().union(*split)
         missing = distinct.difference(self.runs)
-        if len(self.runs) + len(missing) > KNOWN:
-            self.runs, missing = {"\n": self.MARK}, distinct
+        self.chars += sum(map(len, missing))
+        if len(self.runs) + len(missing) > KNOWN or self.chars > KNOWN_CHARS:
+            self.runs, missing, self.chars = {"\n": self.MARK}, distinct, sum(map(len, distinct))
         if missing:
             self._learn_runs(list(missing))
         get = self.runs.__getitem__
@@ -143,6 +166,29 @@ def encoder(text: str) -> Encoder:
     return kept[key]
 
 
+class Rests:
+    """Pieces by length: the longest that fits, the shortest that does not."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, list[tuple[int, int]]] = {}
+        self.lengths: list[int] = []  # sorted; no more than a window has places
+
+    def add(self, n: int, d: int, at: int) -> None:
+        if n not in self.of:
+            self.of[n] = []
+            insort(self.lengths, n)
+        self.of[n].append((d, at))
+
+    def take(self, place: int) -> tuple[int, int, int]:
+        """Length, document and start of a piece of lengths[place]."""
+        n = self.lengths[place]
+        own = self.of[n]
+        d, at = own.pop()
+        if not own:
+            del self.of[n], self.lengths[place]
+        return n, d, at
+
+
 class Packer:
     """Packs pieces (row, start, ids as bytes) into windows of the tiers."""
 
@@ -153,56 +199,53 @@ class Packer:
     def pack(self, docs: list[tuple[int, bytes]]) -> list[tuple[int, list[tuple[int, int, int]]]]:
         """Windows: tier, and pieces (document, start, length). docs: number, ids."""
         windows: list[tuple[int, list[tuple[int, int, int]]]] = []
-        rests: list[tuple[int, int, int]] = []  # length, document, start
+        rests = Rests()
         for d, ids in docs:
             n, at = len(ids) // 4, 0
             while n - at >= self.longest:
                 windows.append((self.longest, [(d, at, self.longest)]))
                 at += self.longest
             if n > at:
-                rests.append((n - at, d, at))
-        rests.sort()
+                rests.add(n - at, d, at)
         for tier in self.tiers:
             floor = tier // 2 if tier != self.tiers[-1] else 0
-            while rests and rests[-1][0] > floor:
-                n, d, at = rests.pop()
+            while rests.lengths and rests.lengths[-1] > floor:
+                n, d, at = rests.take(-1)
                 pieces, room = [(d, at, n)], tier - n
-                while room and rests:
-                    i = bisect_right(rests, (room, 1 << 62, 0)) - 1
-                    if i >= 0 and (rests[i][0] == room or room < self.cut or rests[i][0] > room // 2 or i == len(rests) - 1):
-                        n, d, at = rests.pop(i)
-                        pieces.append((d, at, n))
-                        room -= n
-                    elif room >= self.cut or i < 0 and tier == self.tiers[-1]:
-                        n, d, at = rests.pop(i + 1)  # the shortest that is longer than the gap: its head fills it
-                        pieces.append((d, at, room))
-                        insort(rests, (n - room, d, at + room))
-                        room = 0
+                while room and rests.lengths:
+                    i = bisect_right(rests.lengths, room) - 1
+                    fits = rests.lengths[i] if i >= 0 else 0
+                    if fits and (fits == room or room < self.cut or fits > room // 2 or i == len(rests.lengths) - 1):
+                        n, d, at = rests.take(i)
+                        take = n
+                    elif room >= self.cut or not fits and tier == self.tiers[-1]:
+                        n, d, at = rests.take(i + 1)  # the shortest that is longer than the gap: its head fills it
+                        take = room
                     else:
-                        n, d, at = rests.pop(0)  # less than a cut is left: the shortest document gives its head
+                        n, d, at = rests.take(0)  # less than a cut is left: the shortest document gives its head
                         take = min(n, room)
-                        pieces.append((d, at, take))
-                        room -= take
-                        if n > take:
-                            insort(rests, (n - take, d, at + take))
+                    pieces.append((d, at, take))
+                    room -= take
+                    if n > take:
+                        rests.add(n - take, d, at + take)
                 windows.append((tier, pieces))
         return self._closed(windows)
 
     def _closed(self, windows: list[tuple[int, list[tuple[int, int, int]]]]) -> list[tuple[int, list[tuple[int, int, int]]]]:
         """windows, with what lies in windows that ran out of rests dealt to windows of powers of two, so nothing is padded."""
         full = [w for w in windows if sum(p[2] for p in w[1]) == w[0]]
-        left = [p for w in windows if sum(p[2] for p in w[1]) < w[0] for p in w[1]]
+        left = deque(p for w in windows if sum(p[2] for p in w[1]) < w[0] for p in w[1])
         total = sum(p[2] for p in left)
         while total:
             size = room = min(self.longest, 1 << (total.bit_length() - 1))
             pieces = []
             while room:
-                d, at, n = left.pop(0)
+                d, at, n = left.popleft()
                 take = min(n, room)
                 pieces.append((d, at, take))
                 room -= take
                 if n > take:
-                    left.insert(0, (d, at + take, n - take))
+                    left.appendleft((d, at + take, n - take))
             full.append((size, pieces))
             total -= size
         return full
@@ -227,7 +270,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
 
     ids: the piece's, as little-endian unsigned 32-bit integers; empty without with_ids. tokenizer: the JSON text of a tokenizers file. A window of sequence_id is `context` ids long, a power of two.
     """
-    small_batches(docs.sparkSession)
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, step_group long, ids binary"
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -257,7 +299,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
             for i in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096], strict=True), types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
-        for batch in batches:
+        for batch in small(batches):
             for doc, ids in zip(batch.column("id").to_pylist(), encode(batch.column("t").to_pylist()), strict=True):
                 held.append((doc, ids + end))
                 n_held += len(ids) // 4 + 1

@@ -8,10 +8,13 @@ it (two pieces are compatible if BPE merges their concatenation into just them).
 its UTF-8 bytes' pieces.
 
 Units are what no piece reaches across: a run of spaces with the word after it, cut again between characters that stand
-together in no piece; a line feed where no piece has one. A worker remembers up to KNOWN units, so a text is mostly
-looked up.
+together in no piece; a line feed where no piece has one. A worker remembers up to KNOWN units with KNOWN_CHARS
+characters, so a text is mostly looked up. At most SLICE bytes are indexed at once: a longer unit is matched slice after
+slice, each with as many bytes before it as the longest piece has, and relaxed across them.
 
-Decoding joins the pieces, bytes included, turns the space sign into a space and drops the space that encoding put first.
+Decoding joins the pieces, bytes included, turns the space sign into a space and drops the space that encoding put first;
+bytes that are no UTF-8 become U+FFFD, one each, as the library has it. A model with user-defined pieces is refused: the
+library matches those before any merge.
 
 Defined cases: a null text counts as empty, and an empty text has no ids; the space sign U+2581 in a text is a space, as
 the model treats it; rows repeated are encoded each; an empty table gives an empty result; other columns are ignored.
@@ -19,10 +22,12 @@ the model treats it; rows repeated are encoded each; an empty table gives an emp
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole
+from .common import small, whole
 
-SPACE, KNOWN, BATCH = "▁", 500_000, 65_536
+SPACE, KNOWN, KNOWN_CHARS, BATCH, SLICE = "▁", 500_000, 1 << 24, 65_536, 1 << 20
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -64,6 +69,9 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
             at += size
 
 
+codecs.register_error("tessera_fffd", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
 @dataclass
 class Model:
     """Pieces of a BPE model."""
@@ -84,7 +92,9 @@ class Model:
                 self.byte[int(piece[3:5], 16)] = i
             elif kind == UNKNOWN:
                 self.unknown = i
-            elif kind in (NORMAL, USER):
+            elif kind == USER:
+                raise ValueError("user-defined pieces are not supported")
+            elif kind == NORMAL:
                 self.number[piece] = i
                 self.rank[piece] = -score
 
@@ -119,15 +129,16 @@ class Matcher:
         self.fits: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.chars = 0
         self.together = {two for p in self.order for two in zip(p, p[1:], strict=False)}
         line = "\n" in {c for p in self.order for c in p}
         self.split = re.compile(r" *[^ ]+| +" if line else r" *[^ \n]+| +|\n").findall
 
     def _fit(self, key: int) -> bool:
-        """Whether the matches key // 2**16 and key % 2**16 are compatible; remembered."""
+        """Whether the matches key // n and key % n of n are compatible; remembered."""
         if len(self.fits) > 2_000_000:
             self.fits.clear()
-        x, y = self.order[key >> 16], self.order[key & 65535]
+        x, y = (self.order[i] for i in divmod(key, len(self.order)))
         ok = self.fits[key] = self.model.merged(x + y) == [x, y]
         return ok
 
@@ -136,10 +147,10 @@ class Matcher:
         together = self.together
         if all(map(together.__contains__, zip(unit, unit[1:], strict=False))):
             return [unit]
-        out, at = [], 0
+        out, at, same = [], 0, {}
         for i, two in enumerate(zip(unit, unit[1:], strict=False), 1):
             if two not in together:
-                out.append(unit[at:i])
+                out.append(same.setdefault(unit[at:i], unit[at:i]))
                 at = i
         return [*out, unit[at:]]
 
@@ -169,22 +180,31 @@ class Matcher:
         at = suffixes[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
         return at, which
 
+    def matches(self, data: bytes) -> Iterator[tuple[int, int, int]]:
+        """Begin, end and match number of all pieces in data, by end and then begin."""
+        reach = int(self.bytes.max()) if len(self.bytes) else 0
+        for low in range(0, len(data), SLICE):
+            first = max(0, low - reach)
+            at, which = self.occurrences(data[first : low + SLICE])
+            end = at + self.bytes[which]
+            own = end > low - first  # those that end before are of the slice before
+            at, end, which = at[own] + first, end[own] + first, which[own]
+            order = np.lexsort((at, end))
+            yield from zip(at[order].tolist(), end[order].tolist(), which[order].tolist(), strict=True)
+
     def encode_units(self, units: list[str]) -> list[bytes]:
         coded = [u.encode("utf-8", "surrogatepass") for u in units]
         size = np.array([len(c) for c in coded], dtype=np.int64)
         begin = np.cumsum(size + 1) - size - 1
-        at, which = self.occurrences(b"\0".join(coded) + b"\0")
-        end = at + self.bytes[which]
-        order = np.lexsort((at, end))
-        at, end, which = at[order].tolist(), end[order].tolist(), which[order].tolist()
         # by position in the text: the match that ends there (-1 where a unit begins, -2 for a character that is no piece, -9 none), and where that begins
-        last, came = [-9] * (int(size.sum()) + len(units) + 1), [0] * (int(size.sum()) + len(units) + 1)
+        places = int(size.sum()) + len(units) + 1
+        last, came = array("i", [-9]) * places, array("q", [0]) * places
         for b in begin.tolist():
             last[b] = -1
         # characters that are no piece are edges as well, met in the same order
         loose = sorted((b + off, b + off + n) for c, b, u in zip(coded, begin.tolist(), units, strict=True) for off, n in self._loose(u, c))
-        k, fits, fit = 0, self.fits, self._fit
-        for s, e, w in zip(at, end, which, strict=True):
+        k, fits, fit, kinds = 0, self.fits, self._fit, len(self.order)
+        for s, e, w in self.matches(b"\0".join(coded) + b"\0"):
             while k < len(loose) and loose[k][1] <= e:
                 if last[loose[k][0]] != -9:
                     last[loose[k][1]], came[loose[k][1]] = -2, loose[k][0]
@@ -192,7 +212,7 @@ class Matcher:
             before = last[s]
             if before != -9 and last[e] == -9:
                 if before >= 0:
-                    key = before << 16 | w
+                    key = before * kinds + w
                     ok = fits.get(key)
                     if not (fit(key) if ok is None else ok):
                         continue
@@ -203,16 +223,15 @@ class Matcher:
         out = []
         ids = self.ids.tolist()
         for b, n, u in zip(begin.tolist(), size.tolist(), coded, strict=True):
-            path, to = [], b + n
+            path, to = array("I"), b + n
             while to > b:
                 w, s = last[to], came[to]
                 if w >= 0:
                     path.append(ids[w])
                 else:
-                    path += reversed(self.model.spelt(u[s - b : to - b].decode("utf-8", "surrogatepass")))
+                    path.extend(reversed(self.model.spelt(u[s - b : to - b].decode("utf-8", "surrogatepass"))))
                 to = s
-            path.reverse()
-            out.append(struct.pack(f"<{len(path)}I", *path))
+            out.append(np.array(path[::-1], dtype="<u4").tobytes())
         return out
 
     def _loose(self, unit: str, coded: bytes) -> list[tuple[int, int]]:
@@ -230,15 +249,22 @@ class Matcher:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit bytes."""
         split = [self.split(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        if len(self.units) > KNOWN:
-            self.units = {}
+        if len(self.units) > KNOWN or self.chars > KNOWN_CHARS:
+            self.units, self.chars = {}, 0
+            self.parts = {}
         new = list(set().union(*split).difference(self.units))
+        self.chars += sum(map(len, new))
         cuts = [self.cut(u.replace(" ", SPACE)) for u in new]
         if len(self.parts) > KNOWN:
             self.parts = {}
-        parts = list({p for c in cuts for p in c}.difference(self.parts))
-        for i in range(0, len(parts), BATCH):
-            own = parts[i : i + BATCH]
+        own, size = [], 0
+        for part in {p for c in cuts for p in c}.difference(self.parts):
+            if own and (len(own) >= BATCH or size + len(part) > SLICE):
+                self.parts.update(zip(own, self.encode_units(own), strict=True))
+                own, size = [], 0
+            own.append(part)
+            size += len(part)
+        if own:
             self.parts.update(zip(own, self.encode_units(own), strict=True))
         get = self.parts.__getitem__
         self.units.update((u, b"".join(map(get, c))) for u, c in zip(new, cuts, strict=True))
@@ -248,7 +274,7 @@ class Matcher:
         back = self.__dict__.get("back")
         if back is None:
             back = self.back = {i: p.encode() for i, p in enumerate(self.model.pieces) if p in self.model.number} | {i: bytes([b]) for b, i in self.model.byte.items()}
-        text = b"".join(back.get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()).decode("utf-8", "surrogatepass").replace(SPACE, " ")
+        text = b"".join(back.get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()).decode("utf-8", "tessera_fffd").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -266,11 +292,9 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     """One row per row of docs: id_col, n_pieces, ids_crc32, round_trip (decoding gives the text), ids (empty without with_ids).
 
     model: the content of a sentencepiece model file of type BPE, without normalisation rules."""
-    small_batches(docs.sparkSession, 1024)  # a batch's new units share one index
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher(model)
-        for batch in batches:
+        for batch in small(batches, 1024):  # a batch's new units share one index
             texts = batch.column("t").to_pylist()
             ids = m.encode(texts)
             columns = [
@@ -290,11 +314,9 @@ def _same(m: Matcher, ids: bytes, text: str) -> bool:
 
 def decode_pieces(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id_col and text of rows with ids (little-endian unsigned 32-bit; null as none)."""
-    small_batches(rows.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher(model)
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([m.decode(x or b"") for x in batch.column("x").to_pylist()], pa.string())], names=["id", "text"])
 
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("x")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)

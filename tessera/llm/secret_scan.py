@@ -9,10 +9,14 @@ log-likelihood (forward-backward), from at most SAMPLE texts drawn by hash of th
 together with MADE sentences made from a fixed seed with assignments that the base patterns miss; decoding is Viterbi.
 
 A secret begins at any token of key characters (length and digits are features, no bar) and goes on only while no
-white space intervenes. All tokens get their scores. A word (between white space) in which no span can be worth more
-than staying outside, by a bound on its tokens' scores and the moves, is outside on the best path whatever stands
-around it; Viterbi runs over the other words, with the certain tags on either side, so it finds the whole text's path.
-Training takes stretches of the texts only, see near().
+white space intervenes. A word (between white space) in which no span can be worth more than staying outside, by a bound
+on its tokens' scores and the moves, is outside on the best path whatever stands around it; Viterbi runs over the other
+words, with the certain tags on either side, so it finds the whole text's path. The bound is taken twice: once for a
+word's pattern of character classes, over all entropies such a word can have and all neighbours of QUIET kinds, which
+settles nearly all words by a lookup; then, for words it leaves open, and the word before and the three after a word that is
+not quiet, from the tokens' own scores in their place.
+Training, and it alone, is bounded: of each of its SAMPLE texts at most STRETCHES stretches of STRETCH characters around
+digits and names of keys (near()), and the first HEAD characters. The scan takes whole texts, WORDS words at a time.
 
 Spans are in code points, end exclusive. Field spans that overlap a base span are left out, so base spans stay as they are.
 
@@ -25,6 +29,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,9 +42,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole
+from .common import small, whole
 
 SAMPLE, MADE, LEAST, BITS = 800, 800, 8, 14
+STRETCHES, STRETCH, HEAD, WORDS = 50, 4000, 600, 100_000
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
@@ -50,8 +57,24 @@ KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 NAMED = re.compile("password|passwd|pwd|secret|token|api_?key|bearer|credential|passphrase", re.IGNORECASE)
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "private", "access", "login", "passphrase", "session")
 NAMELIKE = re.compile("|".join(NAMES))
-#: Characters of a class as one, but for those that begin brief()'s names.
-CLASSES = {ord(c): "l" if c.islower() else "u" if c.isupper() else "0" if c.isdigit() else c for c in KEY_CHARS}
+#: Names that brief() gives to tokens which tell nothing of a secret beside them.
+QUIET = ("edge", "word", "num", "mix", *".,;!?()-|&%*#$/")
+
+
+class Classes(dict):
+    """Characters of a class as one (str.translate), but for those that begin brief()'s names."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if c in KEY_CHARS:
+            own = "l" if c.islower() else "u" if c.isupper() else "0" if c.isdigit() else c
+        else:  # a token of its own; all that matters of a letter is its case
+            own = ("é" if c.islower() else "É" if c.isupper() else "²" if c.isdigit() else "日") if c.isalnum() else c
+        self[code] = own
+        return own
+
+
+CLASSES = Classes()
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -180,10 +203,23 @@ class Rows:
         return k
 
 
+class Kinds(dict):
+    """Of words in a file with some features: 0 outside among quiet neighbours, 1 open, 2 not quiet itself."""
+
+    def __init__(self, decoder: Decoder, file: list[str]) -> None:
+        super().__init__()
+        self.decoder, self.file = decoder, file
+
+    def __missing__(self, word: str) -> int:
+        self.decoder.chars += len(word)
+        kind = self[word] = self.decoder.kind(word, self.file)
+        return kind
+
+
 class Decoder:
     """The field's best path over whole texts; what a token, a word or a context is worth is kept between texts."""
 
-    KEPT = 200_000
+    KEPT, KEPT_CHARS = 500_000, 1 << 24
 
     def __init__(self, field: Field) -> None:
         self.field = field
@@ -193,11 +229,18 @@ class Decoder:
         self.stay = float(max(m[1, 2], m[2, 2]) - m[0, 0])
         self.slip = float(m[0, 2] - m[0, 0])
         self.gap = np.array([field.score("gapFalse"), field.score("gapTrue")])
+        # the most that quiet neighbours add to begin and inside over outside
+        before = [field.score(f"p1{x}", f"p2{y}", f"p12{x}|{y}", f"p123{x}|{y}|{z}") for x in QUIET for y in QUIET for z in QUIET]
+        self.most_before = self.over(np.array(before))
+        self.most_after = self.over(np.array([field.score(f"n1{x}") for x in QUIET]))
+        self.patterns: dict[tuple, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.words: dict[str, list[int]] = {}
         self.shapes: dict[tuple, list] = {}
+        self.kinds: dict[tuple, Kinds] = {}
+        self.chars = 0
         self.tokens = Rows(5)  # scores of the three tags, number of brief(), whether of key characters
         self.context, self.after, self.briefs = Rows(3), Rows(3), {}
         self.brief("edge")
@@ -241,8 +284,6 @@ class Decoder:
 
     def scores(self, words: list[str], file: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A row of scores a token, whether it may begin, and each word's first token (with the end)."""
-        if max(len(self.words), len(self.tokens.at), len(self.context.at)) > self.KEPT:
-            self.clear()
         known = self.words.get
         own = [known(w) or self.word(w) for w in words]
         ids = np.fromiter(chain.from_iterable(own), np.int64)
@@ -253,6 +294,39 @@ class Decoder:
         e = rows[:, :3] + self.before(b) + self.after.values[np.append(b[1:], 0)] + self.gap[gap] + self.field.score(*file, "bias")
         return e, rows[:, 4] > 0, starts
 
+    @staticmethod
+    def over(scores: np.ndarray) -> np.ndarray:
+        return (scores[:, 1:] - scores[:, :1]).max(axis=0)
+
+    def kind(self, word: str, file: list[str]) -> int:
+        if NAMELIKE.search(word.lower()):
+            return 2
+        like = (word.translate(CLASSES), *file)
+        k = self.patterns.get(like)
+        if k is None:
+            if len(self.patterns) > self.KEPT:
+                self.patterns.clear()
+            k = self.patterns[like] = self.kind_of_tokens(TOKEN.findall(word), file)
+        return k
+
+    def kind_of_tokens(self, found: list[str], file: list[str]) -> int:
+        """What holds for all words with the pattern of these tokens."""
+        score, rest, worth = self.field.score, 0.0, -np.inf
+        for i, t in reversed(list(enumerate(found))):
+            b = brief(t)
+            if b not in QUIET:
+                return 2
+            known = [x for x in shape(t) if not x.startswith("ent")]
+            spread = self.over(np.array([score(f"ent{k}") for k in range(int(2 * log2(len(t))) + 1)]))
+            own = self.over(score(*known, f"own{b}", f"begin{strong(t)}", f"gap{i == 0}", "bias", *file)[None])
+            begin, inside = own + spread + self.most_before + self.most_after
+            gain = begin + self.enter if t[0] in KEY_CHARS else -np.inf
+            slip = inside + self.slip if i else -np.inf
+            keep = max(inside + self.stay, 0.0)
+            worth = max(worth, max(gain, slip) + self.leave + rest)
+            rest += keep
+        return int(worth >= -1e-6)
+
     def hot(self, e: np.ndarray, begin: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The words in which a span may be worth more than staying outside."""
         inside = np.maximum(e[:, 2] - e[:, 0] + self.stay, 0)
@@ -264,50 +338,74 @@ class Decoder:
         bound = np.maximum(gain, slip) + self.leave + last - total
         return np.flatnonzero(np.maximum.reduceat(bound, starts[:-1]) >= -1e-6)
 
-    def path(self, e: np.ndarray, begin: np.ndarray, gap: set[int], low: int, high: int) -> list[int]:
-        """Viterbi over tokens low to high; those around are outside."""
+    def path(self, e: np.ndarray, begin: list[bool], gap: list[bool], first: bool, last: bool) -> list[int]:
+        """Viterbi over neighbouring tokens; those around are outside, unless the text begins (first) or ends (last) here."""
         m = self.field.move.tolist()
         none, back = float("-inf"), []
         score = [0.0, none, none]
-        for i in range(low, high):
+        for i in range(len(e)):
             new, own = [], []
             for k in range(3):
-                if (k == 1 and not begin[i]) or (k == 2 and i in gap):
+                if (k == 1 and not begin[i]) or (k == 2 and gap[i]):
                     best, of = none, 0
                 else:
-                    best, of = max(((score[j] + (m[j][k] if i else 0.0), -j) for j in range(3)), key=lambda x: x)
+                    best, of = max((score[j] + (m[j][k] if i or not first else 0.0), -j) for j in range(3))
                     of = -of
                 new.append(best + e[i, k])
                 own.append(of)
             score = new
             back.append(own)
-        ends = [s + (m[k][0] if high < len(e) else 0.0) for k, s in enumerate(score)]
+        ends = [s + (0.0 if last else m[k][0]) for k, s in enumerate(score)]
         out = [ends.index(max(ends))]
         for own in reversed(back[1:]):
             out.append(own[out[-1]])
         return out[::-1]
 
+    def hot_words(self, words: list[str], file: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Number, token scores and whether they may begin, of each hot word; those left open WORDS at a time."""
+        if max(len(self.words), len(self.tokens.at), len(self.context.at), sum(map(len, self.kinds.values()))) > self.KEPT or self.chars > self.KEPT_CHARS:
+            self.clear()
+        kinds = self.kinds.setdefault(tuple(file), Kinds(self, file))
+        codes = np.frombuffer(bytes(map(kinds.__getitem__, words)), dtype=np.uint8)
+        left_open, loud = codes > 0, np.flatnonzero(codes == 2)
+        for k in (-1, 1, 2, 3):  # a token's features reach three tokens back and one on, and a word has one at least
+            left_open[np.clip(loud + k, 0, len(words) - 1)] = True
+        picked = np.flatnonzero(left_open)
+        for at in range(0, len(picked), WORDS):
+            own = picked[at : at + WORDS]
+            seen = np.unique(np.concatenate([own + k for k in range(-3, 2)]))
+            seen = seen[(seen >= 0) & (seen < len(words))]
+            e, begin, starts = self.scores([words[i] for i in seen.tolist()], file)
+            mine = np.isin(seen, own)
+            for w in self.hot(e, begin, starts).tolist():
+                if mine[w]:
+                    span = slice(starts[w], starts[w + 1])
+                    yield int(seen[w]), e[span], begin[span]
+
     def spans(self, text: str, file: list[str]) -> list[tuple[int, int]]:
         words = text.split()
         if not words:
             return []
-        e, begin, starts = self.scores(words, file)
-        hot = self.hot(e, begin, starts).tolist()
-        if not hot:
+        runs: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+        for hot in self.hot_words(words, file):
+            if runs and runs[-1][-1][0] == hot[0] - 1:
+                runs[-1].append(hot)
+            else:
+                runs.append([hot])
+        if not runs:
             return []
         out: list[tuple[int, int]] = []
-        gap, at = set(starts[:-1].tolist()), [m.start() for m in WORD.finditer(text)]
-        runs: list[list[int]] = []
-        for w in hot:
-            if runs and runs[-1][1] == w:
-                runs[-1][1] = w + 1
-            else:
-                runs.append([w, w + 1])
-        for a, b in runs:
-            tags, was = iter(self.path(e, begin, gap, int(starts[a]), int(starts[b]))), 0
-            for w in range(a, b):
+        wanted, at = {w for run in runs for w, _, _ in run}, {}
+        for w, m in enumerate(WORD.finditer(text)):
+            if w in wanted:
+                at[w] = m.start()
+        for run in runs:
+            gap = [i == 0 for _, e, _ in run for i in range(len(e))]
+            tags = self.path(np.concatenate([e for _, e, _ in run]), np.concatenate([b for _, _, b in run]).tolist(), gap, run[0][0] == 0, run[-1][0] == len(words) - 1)
+            left, was = iter(tags), 0
+            for w, _, _ in run:
                 for m in TOKEN.finditer(words[w]):
-                    tag = next(tags)
+                    tag = next(left)
                     if tag == 1:
                         out.append((at[w] + m.start(), at[w] + m.end()))
                     elif tag == 2 and was:
@@ -403,9 +501,9 @@ def train(texts: list[str], steps: int = 40, seed: int = 5) -> Field:
     for text in texts:
         base = base_spans(text)
         secrets = [_value(m) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8] + [(a, b) for a, b, k in base if k != "assign"]
-        for low, high in near(text)[:50]:  # of a training text; the scan itself takes all
-            add(text, file_features(text, base), secrets, low, min(high, low + 4000))
-        add(text, file_features(text, base), secrets, 0, min(len(text), 600))  # any text: most words are outside
+        for low, high in near(text)[:STRETCHES]:  # of a training text; the scan itself takes all
+            add(text, file_features(text, base), secrets, low, min(high, low + STRETCH))
+        add(text, file_features(text, base), secrets, 0, min(len(text), HEAD))  # any text: most words are outside
     for text, secrets in made(rng, MADE):
         add(text, file_features(text, []), secrets)
     field = Field(np.zeros((1 << BITS, 3)), np.zeros((3, 3)))
@@ -474,8 +572,15 @@ def field_spans(text: str, field: Field, base: list[tuple[int, int, str]], memo:
     decoder = memo.get("decoder")
     if decoder is None or decoder.field is not field:
         decoder = memo["decoder"] = Decoder(field)
-    found = decoder.spans(text, file_features(text, base))
-    return [(a, b, "field") for a, b in found if not any(a < y and x < b for x, y, _ in base)]
+    taken: list[list[int]] = []  # the stretches that base spans cover, which are sorted by their starts
+    for x, y, _ in base:
+        if taken and x <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], y)
+        else:
+            taken.append([x, y])
+    starts = [x for x, _ in taken]
+    free = lambda a, b: (i := bisect_left(starts, b)) == 0 or taken[i - 1][1] <= a
+    return [(a, b, "field") for a, b in decoder.spans(text, file_features(text, base)) if free(a, b)]
 
 
 def all_spans(text: str, field: Field, memo: dict) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -497,8 +602,17 @@ def fit(docs: DataFrame, text_col: str = "text", size: int = SAMPLE) -> Field:
     return train([r["t"] for r in drawn])
 
 
+def _memo(field: Field) -> dict:
+    """What a worker process remembers from task to task, under the field that it holds for."""
+    kept = sys.__dict__.setdefault("_tessera_decoders", {})
+    key = hash(field.emit.tobytes() + field.move.tobytes())
+    if key not in kept:
+        kept.clear()
+        kept[key] = {"decoder": Decoder(field)}
+    return kept[key]
+
+
 def _shared(spark: SparkSession, field: Field):  # noqa: ANN202
-    small_batches(spark)
     return spark.sparkContext.broadcast(field)
 
 
@@ -507,11 +621,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = _shared(docs.sparkSession, field or fit(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict = {}
-        for batch in batches:
+        memo = _memo(shared.value)
+        field = memo["decoder"].field
+        for batch in small(batches):
             rows = []
             for text in batch.column("t").to_pylist():
-                base, spans = all_spans(text, shared.value, memo)
+                base, spans = all_spans(text, field, memo)
                 kinds = Counter(k for _, _, k in spans)
                 rows.append((kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(written(base).encode()).hexdigest(), written(spans), kinds["field"]))
             columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -529,14 +644,15 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
     size_at = docs.columns.index(size_col) if size_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict = {}
-        for batch in batches:
+        memo = _memo(shared.value)
+        field = memo["decoder"].field
+        for batch in small(batches):
             texts = batch.column(at).to_pylist()
             sizes = batch.column(size_at).to_pylist() if size_at is not None else []
             for i, text in enumerate(texts):
                 if not text:
                     continue
-                spans = all_spans(text, shared.value, memo)[1]
+                spans = all_spans(text, field, memo)[1]
                 if spans:
                     parts, end = [], 0
                     for a, b, _ in spans:

@@ -9,15 +9,19 @@ the pair of tiles is abandoned when every pair in it is over. Of the links found
 so a dense group of n fingerprints gives n - 1 rows.
 
 A key with more than HOT fingerprints is filed again under four finer keys (with three differences in the other bits,
-one of four parts of these agrees), so no link is lost. Equal fingerprints, however many rows hold them, are one node.
+one of four parts of all bits agrees), and so on until no key has more, so no link is lost and no task compares a larger
+group. Equal fingerprints, however many rows hold them, are one node.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; rows
-with a null id have a fingerprint and the component of the other rows with it (null if there are none); repeated rows
-are returned each; an empty table gives an empty result; other columns are ignored.
+with a null id link like any other, and have the smallest id of their component (null if none of it has an id); rows that
+share an id but not their text are linked each by its own text; repeated rows are returned each; an empty table gives an
+empty result; other columns are ignored. keep_one() orders the rows of a component by id (nulls last), fingerprint and
+SHA-256 of the text, keeps the first and drops the others, repeated rows too.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, partitions, settle, small_batches, whole
+from .common import LOWER, UPPER, partitions, settle, small, whole
 from .graph import components
 
 RADIUS = 3
@@ -53,15 +57,16 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """id, fp (signed long) for each row of docs."""
-    small_batches(docs.sparkSession)
+    """id, fp (signed long), sig (the first 64 bits of the text's SHA-256) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column("t").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps)], names=["id", "fp"])
+        for batch in small(batches):
+            texts = batch.column("t").to_pylist()
+            fps = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
+            sigs = [int.from_bytes(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps), pa.array(sigs, pa.int64())], names=["id", "fp", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("t")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("t")).mapInArrow(run, "id long, fp long, sig long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -158,50 +163,87 @@ def _masks() -> list[int]:
     return [span[i] | span[j] for i, j in combinations(range(len(BLOCKS)), 2)]
 
 
-def _parts(mask: int, n: int = 4) -> list[int]:
-    """mask, together with one of n parts of the bits outside it."""
-    free = [b for b in range(64) if not mask >> b & 1]
-    return [mask | sum(1 << b for b in free[i::n]) for i in range(n)]
+def _parts(level: int, n: int = 4) -> list[int]:
+    """All bits in n parts, others on every level."""
+    bits = np.random.RandomState(level).permutation(64).tolist()
+    return [sum(1 << b for b in bits[i::n]) for i in range(n)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def filed(reps: DataFrame, hot: int = HOT) -> DataFrame:
+    """fp, key: each fingerprint under its keys; no key has more than hot of them (or no bit is left to tell them apart).
+    reps: fp (distinct)."""
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+
+    rows = keyed(reps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in _masks()])).alias("mask")))
+    done = None
+    for level in range(64):
+        crowded = settle(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key"))
+        if crowded.isEmpty():
+            break
+        # a hot key has a row here; Spark broadcasts them if they are few
+        light, heavy = rows.join(crowded, "key", "left_anti"), rows.join(crowded, "key", "left_semi")
+        done = light.select("fp", "key") if done is None else done.unionByName(light.select("fp", "key"))
+        finer = F.explode(F.array(*[F.lit(_signed(p)) for p in _parts(level)])).alias("part")
+        rows = settle(keyed(heavy.select("fp", "mask", finer).select("fp", F.col("mask").bitwiseOR(F.col("part")).alias("mask")).distinct()))
+        if rows.filter("mask != -1").isEmpty():
+            break
+    return rows.select("fp", "key") if done is None else done.unionByName(rows.select("fp", "key"))
+
+
 def links(reps: DataFrame, hot: int = HOT) -> DataFrame:
-    """a, b: a spanning forest of each task's links. reps: fp (distinct), node (long)."""
-    masks = _masks()
-    filed = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key")) for t, m in enumerate(masks)]))
-    rows = reps.select("fp", "node", filed.alias("f")).select("fp", "node", "f.t", "f.key")
-    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key", F.lit(True).alias("crowded"))
-    rows = rows.join(crowded, "key", "left")  # the right side has a row for each hot key only; Spark broadcasts it if it is small
-    finer = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.lit(s), F.col("fp").bitwiseAND(F.lit(_signed(p)))).alias("key")) for t, m in enumerate(masks) for s, p in enumerate(_parts(m))])
-    own = F.array(F.struct(F.col("t"), F.col("key")))
-    rows = rows.select("fp", "node", F.explode(F.when(F.col("crowded"), F.filter(finer, lambda x: x["t"] == F.col("t"))).otherwise(own)).alias("f")).select("fp", "node", F.col("f.key").alias("key"))
+    """a, b: a spanning forest of each task's links between fingerprints. reps: fp (distinct)."""
+    rows = filed(reps, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
             t = pa.Table.from_batches(held)
-            key, fp, node = (t.column(n).to_numpy() for n in ("key", "fp", "node"))
-            edges = forest_of(key, fp.view(np.uint64), node)
+            key, fp = (t.column(n).to_numpy() for n in ("key", "fp"))
+            edges = forest_of(key, fp.view(np.uint64), fp)
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["a", "b"])
 
-    n = 4 * partitions(reps.sparkSession)  # a task holds 24 bytes for each of its rows
+    n = 4 * partitions(reps.sparkSession)  # a task holds 16 bytes for each of its rows
     return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def classes(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """fp, root (one fingerprint of its component), component_id (the component's smallest id). rows: id, fp."""
+    reps = settle(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    found = components(links(reps.select("fp"), hot)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    linked = reps.join(found, "fp")  # fingerprints with a link only
+    ids = linked.groupBy("root").agg(F.min("least").alias("of"))
+    known = linked.join(ids, "root").select("fp", "root", F.col("of").alias("component_id"), F.lit(True).alias("linked"))
+    known = reps.join(known, "fp", "left")
+    return known.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """One row per row of docs: id_col, fp (signed long), component_id (smallest id reachable by links)."""
-    rows = settle(fingerprints(docs, id_col, text_col, width))
-    reps = settle(rows.groupBy("fp").agg(F.min("id").alias("node")))
-    found = components(links(reps.filter("node is not null"), hot))
-    classes = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    rows = settle(fingerprints(docs, id_col, text_col, width).select("id", "fp"))
+    return rows.join(classes(rows, hot), "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """docs with the smallest id of each component, all columns; rows with a null id stay."""
-    drop = near_duplicates(docs, id_col, text_col, width).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop"))
-    return docs.join(drop, F.col(f"`{id_col}`") == F.col("_drop"), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """docs with one row of each component, all columns; the texts move once."""
+    rows = settle(fingerprints(docs, id_col, text_col, width))
+    order = F.struct(F.col("id").isNull().alias("late"), "id", "fp", "sig")
+    ranked = settle(rows.join(classes(rows, hot).select("fp", "root"), "fp").groupBy("root", order.alias("at")).agg(F.count(F.lit(1)).alias("n")))
+    first = ranked.groupBy("root").agg(F.min("at").alias("first"))
+    judged = ranked.join(first, "root")
+    names = docs.columns
+    keys = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.conv(F.substring(F.sha2(whole(text_col), 256), 1, 16), 16, -10).cast("long").alias("_sig"))
+    same = lambda right: keys["_id"].eqNullSafe(right["id"]) & (keys["_sig"] == right["sig"])
+    drop = judged.filter("at != first").select("at.id", "at.sig")
+    kept = keys.join(drop, same(drop), "left_anti")
+    again = settle(judged.filter("at = first and n > 1").select("at.id", "at.sig"))
+    if not again.isEmpty():  # rows repeated under one id and text
+        alike = kept.join(again, same(again), "left_semi").dropDuplicates(["_id", "_sig"])
+        kept = kept.join(again, same(again), "left_anti").unionByName(alike)
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])

@@ -24,29 +24,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole
+from .common import small, whole
 from .labels import held_out, sample
 
 N, BITS, PER_CLASS, KNOWN = (2, 3, 4, 5, 6), 18, 2500, 500_000
-#: Words whose n-grams are spelt out at once, so memory does not grow with a batch's new words.
-BLOCK = 16_384
+#: Words, and bytes of words, whose n-grams are spelt out at once, so memory does not grow with a batch's new words, nor
+#: with a word's length: a longer one is spelt in parts. Characters of words whose parts of the score a task remembers.
+BLOCK, BYTES, KNOWN_CHARS = 16_384, 1 << 19, 1 << 24
 AROUND = ".,;:!?\"'()[]{}<>*%$#&|-_=+/\\~`^@"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all n-grams of all words, and the word each belongs to."""
-    coded = [f"\x02{w.strip(AROUND)}\x03".encode("utf-8", "surrogatepass") for w in words]
-    data = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.uint64)
-    size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-    owner = np.repeat(np.arange(len(coded)), size)
+def blocks(words: list[str]) -> Iterator[list[tuple[int, bytes, int]]]:
+    """Words between boundary marks, in blocks: number, bytes, and how many of them an n-gram may begin at. A word of more
+    than BYTES is cut into parts that overlap by an n-gram less one byte, so each of its n-grams begins in one part."""
+    out: list[tuple[int, bytes, int]] = []
+    size = 0
+    for i, w in enumerate(words):
+        data = f"\x02{w.strip(AROUND)}\x03".encode("utf-8", "surrogatepass")
+        for at in range(0, len(data), BYTES):
+            part = data[at : at + BYTES + max(N) - 1]
+            if out and (size + len(part) > 2 * BYTES or len(out) >= BLOCK):
+                yield out
+                out, size = [], 0
+            out.append((i, part, min(BYTES, len(data) - at)))
+            size += len(part)
+    if out:
+        yield out
+
+
+def grams(block: list[tuple[int, bytes, int]], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all n-grams of a block, and the number of the word each belongs to."""
+    data = np.frombuffer(b"".join(d for _, d, _ in block), dtype=np.uint8).astype(np.uint64)
+    size = np.array([len(d) for _, d, _ in block], dtype=np.int64)
+    owner = np.repeat(np.array([i for i, _, _ in block], dtype=np.int64), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(data))
+    begins = left > np.repeat(size - np.array([n for _, _, n in block], dtype=np.int64), size)
     features, owners = [], []
     h = np.zeros(len(data), dtype=np.uint64)
     for n in range(1, max(N) + 1):
         h = h[: len(data) - n + 1] * np.uint64(0x100000001B3) + data[n - 1 :] + np.uint64(n)
         if n in N:
-            inside = np.nonzero(left[: len(h)] >= n)[0]
+            inside = np.nonzero((left[: len(h)] >= n) & begins[: len(h)])[0]
             features.append(((h[inside] * MIX) >> np.uint64(64 - bits)).astype(np.int32))
             owners.append(owner[inside])
     return np.concatenate(features), np.concatenate(owners)
@@ -58,11 +77,32 @@ class Model:
     intercept: float
 
     def of_words(self, words: list[str]) -> np.ndarray:
-        parts = [np.empty(0)]
-        for i in range(0, len(words), BLOCK):
-            features, owners = grams(words[i : i + BLOCK])
-            parts.append(np.bincount(owners, weights=self.weights[features], minlength=len(words[i : i + BLOCK])))
-        return np.concatenate(parts)
+        out = np.zeros(len(words))
+        for block in blocks(words):
+            features, owners = grams(block)
+            first = block[0][0]
+            part = np.bincount(owners - first, weights=self.weights[features], minlength=1)
+            out[first : first + len(part)] += part
+        return out
+
+
+class Scorer:
+    """Scores of texts; a word's part is worked out once a task, as long as it is remembered."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.known, self.chars = model, {}, 0
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        split = [set(t.lower().split()) for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        self.chars += sum(map(len, new))
+        if len(self.known) + len(new) > KNOWN or self.chars > KNOWN_CHARS:
+            new = list(set().union(*split))
+            self.known, self.chars = {}, sum(map(len, new))
+        self.known.update(zip(new, self.model.of_words(new).tolist(), strict=True))
+        of = self.known.__getitem__
+        z = np.array([sum(map(of, sorted(x))) / max(len(x), 1) ** 0.5 for x in split]) + self.model.intercept
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def train(texts: list[str], y: np.ndarray, rate: float, steps: int = 100, l2: float = 1e-5, smooth: float = 10.0, rate_of: float = 0.05) -> Model:
@@ -76,17 +116,19 @@ def train(texts: list[str], y: np.ndarray, rate: float, steps: int = 100, l2: fl
     word = np.concatenate(held) if held else np.empty(0, dtype=np.int64)
     norm = np.sqrt(np.maximum(np.array([len(x) for x in held]), 1))
     size, words = 1 << BITS, list(number)
-    # first word, n-grams' features, their words in the block: 8 bytes an n-gram are kept, the rest is a block's
-    blocks = []
-    for i in range(0, len(words), BLOCK):
-        features, owners = grams(words[i : i + BLOCK])
-        blocks.append((slice(i, min(i + BLOCK, len(words))), features, owners.astype(np.int32)))
+    # n-grams' features and words: 8 bytes an n-gram are kept, the rest is a block's
+    held_grams = [(f, o.astype(np.int32)) for f, o in map(grams, blocks(words))]
 
     def per_feature(of_word: np.ndarray) -> np.ndarray:
-        return sum((np.bincount(f, weights=of_word[at][o], minlength=size) for at, f, o in blocks), np.zeros(size))
+        return sum((np.bincount(f, weights=of_word[o], minlength=size) for f, o in held_grams), np.zeros(size))
 
     def per_word_of(of_feature: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.empty(0), *(np.bincount(o, weights=of_feature[f], minlength=at.stop - at.start) for at, f, o in blocks)])
+        out = np.zeros(len(words))
+        for f, o in held_grams:
+            if len(o):
+                part = np.bincount(o - o.min(), weights=of_feature[f])
+                out[o.min() : o.min() + len(part)] += part
+        return out
 
     per_word = [np.bincount(word[y[doc] == c], minlength=len(number)) for c in (0, 1)]
     low, high = (per_feature(n) for n in per_word)
@@ -114,26 +156,18 @@ def train(texts: list[str], y: np.ndarray, rate: float, steps: int = 100, l2: fl
 
 def _scores(model: Model, rows: DataFrame) -> DataFrame:
     """rows (keep, t) with score instead of t."""
-    spark = rows.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
-        for batch in batches:
-            split = [set(t.lower().split()) for t in batch.column("t").to_pylist()]
-            if len(known) > KNOWN:
-                known = {}
-            if new := list(set().union(*split).difference(known)):
-                known.update(zip(new, model.of_words(new).tolist(), strict=True))
-            z = np.array([sum(map(known.__getitem__, sorted(x))) / max(len(x), 1) ** 0.5 for x in split]) + model.intercept
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["id", "score"])
+        scorer = Scorer(shared.value)
+        for batch in small(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scorer.score(batch.column("t").to_pylist()))], names=["id", "score"])
 
     return rows.mapInArrow(run, "id long, score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
-    return train(*sample(docs, labels, label, per_class, id_col, text_col))
+    return train(*sample(docs, labels, label, per_class, id_col, text_col, lambda t: " ".join(sorted(set(t.lower().split())))))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
@@ -146,20 +180,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
 def toxicity_filter(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
     """docs without the rows that score at least threshold, all columns; one pass, no shuffle."""
     model = fit(docs, labels, label, id_col, text_col, per_class)
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
-        for batch in batches:
-            split = [set((t or "").lower().split()) for t in batch.column(at).to_pylist()]
-            if len(known) > KNOWN:
-                known = {}
-            if new := list(set().union(*split).difference(known)):
-                known.update(zip(new, model.of_words(new).tolist(), strict=True))
-            z = np.array([sum(map(known.__getitem__, sorted(x))) / max(len(x), 1) ** 0.5 for x in split]) + model.intercept
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) < threshold))
+        scorer = Scorer(shared.value)
+        for batch in small(batches):
+            yield batch.filter(pa.array(scorer.score([t or "" for t in batch.column(at).to_pylist()]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

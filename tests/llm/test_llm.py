@@ -136,8 +136,7 @@ def test_packing(spark, sf, odd, none):
     from tokenizers import Tokenizer
 
     file = queries.tokenizer_file("word_bpe_49k.json").decode()
-    tok = Tokenizer.from_str(file)
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_str(file)  # as the contract calls it: a text's <|endoftext|> is that token
     strange = spark.createDataFrame([(900, "naïve “quotes” 日本 \x1c x <|endoftext|> it's 12", None), (901, "İstanbul ΣΑΣ ﬁ é", None)], SCHEMA)
     docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(strange.select("doc_id", "text"))
     rows = packing.pack_documents(docs, file, 1).collect()
@@ -244,7 +243,7 @@ def test_viterbi_is_the_best_path():
 
 def test_ann(spark, none):
     e = table(spark, "/root/testdata/sf0.01", "embeddings")
-    got = ann.permutation_search(e, F.col("vec_id") % 100 == 0, least=50, block=200).collect()
+    got = ann.permutation_search(e, F.col("vec_id") % 100 == 0, block=200, asked=2).collect()
     rows = e.collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
     hits = 0
