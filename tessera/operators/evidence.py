@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 #: The largest document frequency that still counts, and the prior variance added to every score's.
 DF_CAP, PRIOR_VARIANCE = 8, 4.0
+#: The most (source, key) rows whose keys are sent to all tasks.
+FEW = 1_000_000
 
 
 def weight(d: Column, n: Column, cap: int = DF_CAP) -> Column:
@@ -24,17 +28,23 @@ def document_frequency(keys: DataFrame, doc: str = "doc", key: str = "key") -> D
     return keys.groupBy(key).agg(F.count(F.lit(1)).alias("df"))
 
 
-def pair_evidence(targets: DataFrame, sources: DataFrame, n_docs: int, cap: int = DF_CAP, places: int = 6) -> DataFrame:
+def pair_evidence(targets: DataFrame, sizes: DataFrame, sources: DataFrame, n_docs: int, cap: int = DF_CAP, places: int = 6) -> DataFrame:
     """a, b, shared, s, mu, sigma, z of each target a and source document b that share a rare key.
 
-    targets: distinct (a, key); sources: distinct (b, key). A key's frequency counts targets and sources, left out the
+    targets: (a, key), sizes: a, size (its distinct keys); sources: distinct (b, key). A key's frequency counts targets and sources, left out the
     two at hand and put back as two: d = max(df - [a has it] - [b has it], 0) + 2. S is the weight of the shared keys;
     mu and sigma^2 sum w p and w^2 p (1 - p) over b's keys; z = (S - r mu) / sqrt(r sigma^2 + 4) with r = |a| / mean |a|.
 
     Base and corrections: with only b counted out, b's sums are the same for all targets; a key that the target holds
     too changes its term, so a pair needs its shared keys only, and keys above the cap for either outcome, whose weight
-    is 0, never enter the join.
+    is 0, never enter the join. Targets lose all keys that no source has before they are shuffled, as long as the sources
+    have FEW keys, which are then sent to all tasks; beyond that the two sides are joined by a shuffle.
     """
+    wanted = sources.select("key").distinct()
+    if not sources.limit(FEW).count() < FEW:
+        targets = targets.join(wanted, "key", "left_semi").distinct()
+    else:
+        targets = targets.join(F.broadcast(wanted), "key", "left_semi").distinct()
     both = targets.select("key").unionByName(sources.select("key"))
     df = both.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= cap)
     n = F.lit(float(n_docs))
@@ -47,7 +57,6 @@ def pair_evidence(targets: DataFrame, sources: DataFrame, n_docs: int, cap: int
     shared = terms(F.greatest(F.col("df") - 2, F.lit(0)) + 2)
     held = sources.join(df, "key").select("b", "key", *[t.alias(x) for t, x in zip((*alone, *shared), ("w1", "m1", "v1", "w2", "m2", "v2"), strict=True)])
     base = held.groupBy("b").agg(F.sum("m1").alias("mu0"), F.sum("v1").alias("var0"))
-    sizes = targets.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean"))
     pairs = targets.join(held, "key").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum("w2").alias("s"), F.sum(F.col("m2") - F.col("m1")).alias("dm"), F.sum(F.col("v2") - F.col("v1")).alias("dv"))
     pairs = pairs.join(base, "b").join(sizes, "a").crossJoin(F.broadcast(mean))  # mean: one row
@@ -83,7 +92,7 @@ def tail_probability(scores: DataFrame, sample: DataFrame, z: str, places: int =
     n = sample.count()
     both = scores.withColumn("_kind", F.lit(0)).unionByName(sample.select(z).withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     per = both.groupBy(z).agg(F.sum("_kind").alias("_here"))
-    per = per.withColumn("_above", F.sum("_here").over(Window.orderBy(F.desc(z)).rowsBetween(Window.unboundedPreceding, 0)))
+    per = running(per, [F.desc(z)], {"_above": F.col("_here")})
     return scores.join(per.select(z, "_above"), z).withColumn("q", F.round(F.col("_above") / F.lit(float(max(n, 1))), places)).drop("_above")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.durable import settle
+
 
 def families(members: DataFrame, n_items: int, least: int = 2) -> DataFrame:
     """family, size and specificity log2(N / size) of families with at least `least` members. members: family, item."""
@@ -50,7 +52,7 @@ def ancestry(nodes: DataFrame, tree: DataFrame, rounds: int = 64) -> DataFrame:
     up = up.withColumn("depth", F.col("up").isNotNull().cast("int")).withColumn("root", F.coalesce("up", "node")).select("node", "root", "depth")
     for _ in range(rounds):
         step = up.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        joined = up.join(step, "root").select("node", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")).checkpoint()
+        joined = settle(up.join(step, "root").select("node", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
         up = joined.drop("moved")
         if joined.filter("moved").isEmpty():
             return up
@@ -68,13 +70,19 @@ def descendants(nodes: DataFrame, tree: DataFrame, depth: int) -> DataFrame:
     return nodes.select("node").join(per, "node", "left").withColumn("descendants", F.coalesce("descendants", F.lit(0)))
 
 
-def katz(nodes: DataFrame, edges: DataFrame, alpha: float = 0.2, depth: int = 16, places: int = 6) -> DataFrame:
-    """k(a) = sum over edges a -> b of (1 + alpha k(b)), over walks of at most depth edges (exact on a graph of no longer walks)."""
+def katz(nodes: DataFrame, edges: DataFrame, alpha: float = 0.2, places: int = 6, rounds: int = 10_000) -> DataFrame:
+    """k(a) = sum over edges a -> b of (1 + alpha k(b)), to the fixpoint: as many rounds as the longest chain has edges."""
     n = nodes.select("node")
-    walk = edges.groupBy(F.col("a").alias("node")).agg(F.sum(F.lit(1.0)).alias("k"))
-    for _ in range(depth - 1):
+    walk = settle(edges.groupBy(F.col("a").alias("node")).agg(F.sum(F.lit(1.0)).alias("k")))
+    for _ in range(rounds):
+        # with the value before beside it; a sum in another order may differ in the last places
         nxt = edges.join(walk.withColumnRenamed("node", "b"), "b", "left").groupBy(F.col("a").alias("node")).agg(F.sum(1 + alpha * F.coalesce("k", F.lit(0.0))).alias("k"))
-        walk = nxt.checkpoint()
+        nxt = settle(nxt.join(walk.withColumnRenamed("k", "was"), "node"))
+        walk = nxt.drop("was")
+        if nxt.filter(F.abs(F.col("k") - F.col("was")) > 1e-9 * F.col("k")).isEmpty():
+            break
+    else:
+        raise ValueError("no fixpoint: the edges have a cycle")
     return n.join(walk, "node", "left").select("node", F.round(F.coalesce("k", F.lit(0.0)), places).alias("katz"))
 
 

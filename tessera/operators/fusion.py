@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.durable import settle
+
+from .ranks import ranked
+
 #: Fixed value: the constant added to a rank before it is inverted.
 RANK_OFFSET = 60
 
@@ -18,7 +22,7 @@ def fuse(entries: DataFrame, lists: DataFrame) -> DataFrame:
     e = entries.filter("work_id is not null").join(F.broadcast(lists) if lists.isLocal() else lists, "list_id")
     part = F.col("weight") * F.coalesce("weight_factor", F.lit(1.0)) / (RANK_OFFSET + F.coalesce("pseudo_rank", "rank"))
     works = e.groupBy("work_id").agg(F.round(F.sum(part), 9).alias("score"), F.count_distinct("list_id").alias("n_lists"))
-    return works.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("n_lists"), "work_id")))
+    return ranked(works, [F.desc("score"), F.desc("n_lists"), F.asc("work_id")]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def pool(ranked: DataFrame, top: int, floor: int, first: int, last: int) -> DataFrame:
@@ -31,14 +35,14 @@ def pool(ranked: DataFrame, top: int, floor: int, first: int, last: int) -> Data
 
 def final_set(works: DataFrame, target: int, floor: int, first: int, last: int, key: str = "work_id") -> DataFrame:
     """key and whether it is protected: the best target works and the best floor of each year, less the worst unprotected beyond target."""
-    g = works.withColumn("g", F.row_number().over(Window.orderBy(F.col("rank").asc_nulls_last(), key)))
+    g = ranked(works, [F.col("rank").asc_nulls_last(), F.asc(key)], "g")
     g = g.withColumn("nth", F.row_number().over(Window.partitionBy("year").orderBy("g")))
     protected = F.coalesce(F.col("year").between(first, last) & (F.col("nth") <= floor), F.lit(False))
     kept = g.withColumn("protected", protected).filter((F.col("g") <= target) | F.col("protected"))
-    size = kept.agg(F.count(F.lit(1)).alias("size"))
-    free = Window.partitionBy("protected").orderBy(F.desc("g"))
-    worst = F.when(~F.col("protected"), F.row_number().over(free))
-    return kept.withColumn("worst", worst).crossJoin(F.broadcast(size)).filter(F.col("worst").isNull() | (F.col("worst") > F.greatest(F.col("size") - target, F.lit(0)))).select(key, "protected")
+    kept = settle(kept)
+    over = max(kept.count() - target, 0)
+    worst = kept.filter("not protected").orderBy(F.desc("g")).limit(over).select(key)  # as many as are protected beyond the best target
+    return kept.join(worst, key, "left_anti").select(key, "protected")
 
 
 def best_member(rows: DataFrame, group: str, member: str, score: str) -> DataFrame:

@@ -84,11 +84,15 @@ def hops(lengths: DataFrame, by: str, length: str, size: float, hop: float, leas
     return lengths.select(by, F.explode(F.sequence(F.lit(0), n - 1)).alias("k"), F.col(length)).select(by, "k", (F.col("k") * hop).alias("start"), F.least(F.col("k") * hop + size, F.col(length)).alias("end"))
 
 
+def chunk_starts(n: Column, size: int, stride: int) -> Column:
+    """Where windows of `size` begin, each `stride`, from 0; the last is anchored at the end."""
+    last = F.greatest(n - size, F.lit(0))
+    return F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))))
+
+
 def line_chunks(docs: DataFrame, by: str, n_lines: str, size: int, stride: int) -> DataFrame:
     """Windows of `size` lines each `stride`; the last is anchored at the end. start counts from 0."""
-    last = F.greatest(F.col(n_lines) - size, F.lit(0))
-    starts = F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))))
-    return docs.select(by, F.posexplode(starts).alias("chunk", "start"), F.col(n_lines)).select(by, "chunk", "start", F.least(F.col("start") + size, F.col(n_lines)).alias("end"))
+    return docs.select(by, F.posexplode(chunk_starts(F.col(n_lines), size, stride)).alias("chunk", "start"), F.col(n_lines)).select(by, "chunk", "start", F.least(F.col("start") + size, F.col(n_lines)).alias("end"))
 
 
 def grid_cells(spans: DataFrame, by: str, start: str, end: str, value: str, cell: float, share: float = 0.25) -> DataFrame:

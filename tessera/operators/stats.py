@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.durable import settle
+
+from .ranks import running
+
 
 def weighted_mode(rows: DataFrame, by: str, value: str, weight: str) -> DataFrame:
     """The value with the most weight; ties: the smaller value."""
@@ -58,32 +62,47 @@ def profile_match(hist: DataFrame, by: str, profiles: list[tuple[str, list[float
 
 
 def auc(rows: DataFrame, positive: Column, score: str) -> DataFrame:
-    """n_pos, n_neg and ROC AUC, tied scores at their average rank. Only counts per distinct score meet in one task."""
+    """n_pos, n_neg and ROC AUC, tied scores at their average rank."""
     per = rows.filter(F.col(score).isNotNull() & positive.isNotNull()).groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    per = running(per, [F.asc(score)], {"under": F.col("n")}).withColumn("under", F.col("under") - F.col("n"))
     return per.agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.round(F.try_divide(F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)), F.sum("p") * F.sum("n")), 9).alias("auc"))
 
 
 def tpr_at_fpr(rows: DataFrame, positive: Column, score: str, rates: list[float]) -> DataFrame:
     """fpr, threshold (the (floor(fpr x n) + 1)-th largest negative score) and the share of positives strictly above it."""
     neg, pos = rows.filter(~positive).select(score), rows.filter(positive).select(F.col(score).alias("s"))
-    ranked = neg.withColumn("k", F.row_number().over(Window.orderBy(F.desc(score)))).crossJoin(F.broadcast(neg.agg(F.count(F.lit(1)).alias("n"))))
+    per = ranked_values(neg, score)
+    n = neg.agg(F.count(F.lit(1)).alias("n"))
     wanted = F.explode(F.array(*[F.lit(float(r)) for r in rates]))
-    cut = ranked.select("*", wanted.alias("fpr")).filter(F.col("k") == F.floor(F.col("fpr") * F.col("n")) + 1).select("fpr", F.col(score).alias("threshold"))
+    k = F.floor(F.col("fpr") * F.col("n")) + 1
+    cut = per.crossJoin(F.broadcast(n)).select("*", wanted.alias("fpr")).filter((F.col("last") >= k) & (F.col("last") - F.col("here") < k)).select("fpr", F.col(score).alias("threshold"))
     return pos.crossJoin(F.broadcast(cut)).groupBy("fpr", "threshold").agg(F.round(F.avg((F.col("s") > F.col("threshold")).cast("int")), 9).alias("tpr"))
 
 
+def ranked_values(rows: DataFrame, value: str) -> DataFrame:
+    """Distinct values, how many rows have each (here), and the last place of these in descending order."""
+    per = rows.groupBy(value).agg(F.count(F.lit(1)).alias("here"))
+    return running(per, [F.desc(value)], {"last": F.col("here")})
+
+
 def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return rows.groupBy(truth, guess).agg(F.count(F.lit(1)).alias("n"))
 
 
 def exponential_tail(scores: DataFrame, score: str, fpr: float, least_above: int = 10) -> DataFrame:
     """threshold: the (floor(fpr x n) + 1)-th largest if at least least_above lie above it, else an exponential tail fitted over the 99th percentile."""
-    n = scores.agg(F.count(F.lit(1)).alias("n"), F.percentile(score, 0.99).alias("u"))
-    ranked = scores.withColumn("k", F.row_number().over(Window.orderBy(F.desc(score)))).crossJoin(F.broadcast(n))
-    direct = F.max(F.when(F.col("k") == F.floor(fpr * F.col("n")) + 1, F.col(score)))
-    excess = F.avg(F.when(F.col(score) > F.col("u"), F.col(score) - F.col("u")))
-    agg = ranked.agg(F.max("n").alias("n"), F.max("u").alias("u"), direct.alias("direct"), excess.alias("excess"))
+    per = settle(ranked_values(scores.filter(F.col(score).isNotNull()).select(score), score))
+    total = per.agg(F.sum("here")).first()[0] or 0
+
+    def place(k: float) -> Column:
+        return (F.col("last") >= k) & (F.col("last") - F.col("here") < k)
+
+    # the 99th percentile lies between two places of the ascending order
+    at = 0.99 * (total - 1)
+    low, high = total - int(at), total - min(int(at) + 1, max(total - 1, 0))
+    u = (F.max(F.when(place(low), F.col(score))) * (1 - at % 1) + F.max(F.when(place(high), F.col(score))) * (at % 1)).alias("u")
+    n = per.agg(F.sum("here").alias("n"), u, F.max(F.when(place(int(fpr * total) + 1), F.col(score))).alias("direct"))
+    above = per.crossJoin(F.broadcast(n.select("u"))).filter(F.col(score) > F.col("u"))
+    agg = n.crossJoin(F.broadcast(above.agg(F.try_divide(F.sum((F.col(score) - F.col("u")) * F.col("here")), F.sum("here")).alias("excess"))))
     tail = F.col("u") + F.log(F.lit(0.01 / fpr)) * F.coalesce("excess", F.lit(0.0))
     return agg.select("n", F.round(F.when(F.floor(fpr * F.col("n")) >= least_above, F.col("direct")).otherwise(tail), 6).alias("threshold"))

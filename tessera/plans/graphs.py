@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.durable import settle
 from tessera.operators import checks, dates, forest, schedule, vectors
 from tessera.sources import sinks
 from tessera.sources.tables import table
@@ -46,17 +47,8 @@ def secondary_edges(spark: SparkSession, sf: str) -> DataFrame:
     return forest.secondary(p, forest.parents(p), 8)
 
 
-def _settled(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df once computed: the loops that follow use it in every round."""
-    import tempfile
-
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint()
-
-
 def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("node")), _settled(spark, argmax_parent(spark, sf))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("node")), settle(argmax_parent(spark, sf))
 
 
 def forest_depth(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,13 +60,13 @@ def forest_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 def katz(spark: SparkSession, sf: str) -> DataFrame:
     nodes, tree = _tree(spark, sf)
-    return forest.katz(nodes, tree.select("a", "b"), 0.2, 16)
+    return forest.katz(nodes, tree.select("a", "b"), 0.2)
 
 
 def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
     _, tree = _tree(spark, sf)
     e = tree.select("a", "b", "score", (F.col("ref_count") >= 20).alias("generic"))
-    return forest.paths(e, 3, 4, 1).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "n", "score", "n_generic")
+    return forest.paths(e, 3, 6, 1).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "n", "score", "n_generic")
 
 
 def greedy_diverse(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,9 +184,10 @@ last AS (SELECT node, arg_max(root, depth) AS root, max(depth) AS depth FROM up
 SELECT node, root, depth, coalesce(d, 0) AS descendants FROM last LEFT JOIN dn USING (node)""",
     "katz": f"""WITH RECURSIVE {_MEMBERS}, up AS (SELECT c_custkey AS node, c_custkey AS top, 0 AS depth FROM customer UNION ALL SELECT up.node, tree.a, up.depth + 1 FROM up JOIN tree ON up.top = tree.b)
 SELECT c_custkey AS node, round(coalesce(k, 0), 6) AS katz FROM customer LEFT JOIN (SELECT top, sum(power(0.2::DOUBLE, depth - 1)) AS k FROM up WHERE depth > 0 GROUP BY 1) ON top = c_custkey""",
-    "bounded_paths": f"""WITH {_MEMBERS}, e AS (SELECT a, b, score, (ref_count >= 20)::INT AS g FROM tree),
-p3 AS (SELECT x.a || '>' || x.b || '>' || y.b AS path, 3 AS n, x.score + y.score AS score, x.g + y.g AS n_generic, y.b AS last, x.a AS a1, x.b AS a2 FROM e x JOIN e y ON x.b = y.a WHERE x.g + y.g <= 1)
-SELECT path, n, round(score, 6) AS score, n_generic FROM p3 UNION ALL SELECT path || '>' || e.b, 4, round(p3.score + e.score, 6), n_generic + g FROM p3 JOIN e ON last = e.a WHERE n_generic + g <= 1""",
+    "bounded_paths": f"""WITH RECURSIVE {_MEMBERS}, e AS (SELECT a, b, score, (ref_count >= 20)::INT AS g FROM tree),
+p AS (SELECT a || '>' || b AS path, 2 AS n, score, g AS n_generic, b AS last FROM e WHERE g <= 1
+UNION ALL SELECT path || '>' || e.b, n + 1, p.score + e.score, n_generic + g, e.b FROM p JOIN e ON last = e.a WHERE n < 6 AND n_generic + g <= 1)
+SELECT path, n, round(score, 6) AS score, n_generic FROM p WHERE n >= 3""",
     "evidence_cascade": """WITH j AS (SELECT l_partkey AS w, min(year(o_orderdate)) AS o, min(year(l_shipdate)) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
 x AS (SELECT p_partkey AS work_id, o, s, p_size % 12 + 1988 AS c, p_size % 5 <> 0 AS c1 FROM part LEFT JOIN j ON w = p_partkey),
 y AS (SELECT *, CASE WHEN s IS NOT NULL THEN NOT (s < o - 2 AND (NOT c1 OR s < c - 2) AND NOT (abs(o - s) <= 1 OR (c1 AND abs(c - s) <= 1))) END AS s1 FROM x),

@@ -6,26 +6,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.durable import settle
 from tessera.operators import evidence, fusion, intervals, linkage, schedule, sequences, stats
 from tessera.sources import markup
 from tessera.sources.tables import table
 
 N = 5
+#: Fixed value: pairs in the null sample.
+NULL_SAMPLE = 30_000
 
 
 def words(text: str) -> Column:
     return F.regexp_extract_all(F.col(text), F.lit(r"[^ \t\r\n]+"), 0)
 
 
+def _grams(n: int) -> Column:
+    """Distinct word n-grams as text, so that equality is what counts."""
+    return F.array_distinct(sequences.let(words("text"), lambda w: F.transform(sequences.ngrams(w, n), lambda g: F.array_join(g, " "))))
+
+
 def _keys(rows: DataFrame, key: str, name: str, n: int = N) -> DataFrame:
-    """Distinct (name, key): word n-grams as text, so that equality is what counts."""
-    grams = sequences.let(words("text"), lambda w: F.transform(sequences.ngrams(w, n), lambda g: F.array_join(g, " ")))
-    return rows.select(F.col(key).alias(name), F.explode(grams).alias("key")).distinct()
+    return rows.select(F.col(key).alias(name), F.explode(_grams(n)).alias("key"))
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf: str, n: int = N) -> DataFrame:
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return evidence.pair_evidence(_keys(d, "doc_id", "a"), _keys(b, "item_id", "b"), d.count() + b.count())
+    sizes = settle(d.select(F.col("doc_id").alias("a"), F.size(_grams(n)).cast("long").alias("size")).filter("size > 0"))
+    return evidence.pair_evidence(_keys(d, "doc_id", "a", n), sizes, _keys(b, "item_id", "b", n).distinct(), d.count() + b.count())
 
 
 def rare_ngram_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,8 +57,7 @@ pairs AS (SELECT a, b, shared, round(s, 6) AS s, round(mu, 6) AS mu, round(sqrt(
 def stouffer_fuse(spark: SparkSession, sf: str) -> DataFrame:
     """Word and line evidence fused; a channel that a pair lacks counts as absent."""
     p = _pairs(spark, sf).select("a", "b", F.col("z").alias("zw"))
-    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    long_ = evidence.pair_evidence(_keys(d, "doc_id", "a", 12), _keys(b, "item_id", "b", 12), d.count() + b.count()).select("a", "b", F.col("z").alias("zl"))
+    long_ = _pairs(spark, sf, 12).select("a", "b", F.col("z").alias("zl"))
     return p.join(long_, ["a", "b"], "full").select("a", "b", "zw", "zl", evidence.stouffer([(F.col("zw"), 1.0), (F.col("zl"), 0.7)]).alias("z"))
 
 
@@ -61,7 +67,7 @@ def hub_z(spark: SparkSession, sf: str) -> DataFrame:
 
 def tail_prob(spark: SparkSession, sf: str) -> DataFrame:
     p = _pairs(spark, sf).select("a", "b", "z")
-    return evidence.tail_probability(p, fusion.hash_sample(p, ["a", "b"], 40), "z")
+    return evidence.tail_probability(p, fusion.hash_sample(p, ["a", "b"], NULL_SAMPLE), "z")
 
 
 def null_threshold(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,13 +77,13 @@ def null_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 def pair_classify(spark: SparkSession, sf: str) -> DataFrame:
     """Relation of a document to its best passage by share of the passage, strength and order."""
-    size = _keys(table(spark, sf, "benchmark"), "item_id", "b").groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    size = table(spark, sf, "benchmark").select(F.col("item_id").alias("b"), F.size(_grams(N)).cast("long").alias("n")).filter("n > 0")
     p = rare_ngram_evidence(spark, sf).join(size, "b").withColumn("share", F.round(F.col("shared") / F.col("n"), 6))
     return p.select("a", "b", "share", F.when(F.col("share") >= 0.6, "version").when(F.col("z") > 20, "influence").when(F.col("z") > 5, "weak").otherwise("none").alias("relation"))
 
 
 def doc_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.document_frequency(_keys(table(spark, sf, "benchmark"), "item_id", "doc", 2)).filter("df > 1")
+    return evidence.document_frequency(_keys(table(spark, sf, "documents"), "doc_id", "doc", 2)).filter("df > 1")
 
 
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,12 +148,12 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
 
 def theme_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of 8 lines scored on three themes; the mean of the best 5 chunks a theme, with a derived other, normalised."""
-    d = table(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines")).withColumn("n_lines", F.size("lines"))
-    c = intervals.line_chunks(d.select("doc_id", "n_lines"), "doc_id", "n_lines", 8, 4).join(d.select("doc_id", "lines"), "doc_id")
-    text = F.array_join(F.slice("lines", F.col("start") + 1, F.col("end") - F.col("start")), "\n")
+    lines = F.split("text", "\n", -1)
+    cut = lambda x: F.transform(intervals.chunk_starts(F.size(x), 8, 4), lambda s: F.array_join(F.slice(x, s + 1, F.lit(8)), "\n"))
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(sequences.let(lines, cut)).alias("chunk", "t"))
     size = F.greatest(F.char_length("t"), F.lit(1))
     count = lambda ch: (F.char_length("t") - F.char_length(F.replace("t", F.lit(ch), F.lit("")))) / size
-    c = c.withColumn("t", text).select("doc_id", "chunk", F.explode(F.array(*[F.struct(F.lit(n).alias("theme"), F.round(F.least(count(ch) * k, F.lit(1.0)), 6).alias("score")) for n, ch, k in (("vowels", "e", 6.0), ("pauses", ",", 40.0), ("breaks", ".", 20.0))])).alias("s")).select("doc_id", "chunk", "s.*")
+    c = d.select("doc_id", "chunk", F.explode(F.array(*[F.struct(F.lit(n).alias("theme"), F.round(F.least(count(ch) * k, F.lit(1.0)), 6).alias("score")) for n, ch, k in (("vowels", "e", 6.0), ("pauses", ",", 40.0), ("breaks", ".", 20.0))])).alias("s")).select("doc_id", "chunk", "s.*")
     top = fusion.top_k(c, ["doc_id", "theme"], [F.desc("score"), F.col("chunk")], 5).groupBy("doc_id", "theme").agg(F.avg("score").alias("score"))
     other = top.groupBy("doc_id").agg(F.max("score").alias("m")).select("doc_id", F.lit("other").alias("theme"), (F.greatest(F.lit(0.8) - F.col("m"), F.lit(0.0)) / 0.8).alias("score"))
     s = top.unionByName(other).withColumn("score", F.greatest("score", F.lit(1e-6)))
@@ -197,14 +203,14 @@ SQL = {
     "rare_ngram_evidence": f"WITH {_PAIRS} SELECT a, b, shared, s, mu, sigma, z FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY z DESC, b) AS k FROM pairs) WHERE k = 1",
     "hub_z": f"""WITH {_PAIRS}, sa AS (SELECT a, avg(z) AS m, stddev_pop(z) AS sd FROM pairs GROUP BY 1), sb AS (SELECT b, avg(z) AS m, stddev_pop(z) AS sd FROM pairs GROUP BY 1)
 SELECT a, b, z, CASE WHEN sa.sd > 1e-9 THEN round((z - sa.m) / sa.sd, 6) END AS hub_a, CASE WHEN sb.sd > 1e-9 THEN round((z - sb.m) / sb.sd, 6) END AS hub_b FROM pairs JOIN sa USING (a) JOIN sb USING (b)""",
-    "tail_prob": f"""WITH {_PAIRS}, smp AS (SELECT a, b, z FROM pairs ORDER BY md5(a || '|' || b), a, b LIMIT 40)
+    "tail_prob": f"""WITH {_PAIRS}, smp AS (SELECT a, b, z FROM pairs ORDER BY md5(a || '|' || b), a, b LIMIT {NULL_SAMPLE})
 SELECT a, b, z, round((SELECT count(*) FROM smp WHERE smp.z >= p.z) / greatest((SELECT count(*) FROM smp), 1)::DOUBLE, 6) AS q FROM pairs p""",
     "null_threshold": """WITH s AS (SELECT count(*) AS n, quantile_cont(value, 0.99) AS u FROM events), e AS (SELECT avg(value - u) AS x FROM events, s WHERE value > u), r AS (SELECT value, row_number() OVER (ORDER BY value DESC) AS k FROM events),
 f(fpr) AS (VALUES (0.01::DOUBLE), (0.0001::DOUBLE))
 SELECT n, round(CASE WHEN floor(fpr * n) >= 10 THEN (SELECT value FROM r WHERE k = floor(fpr * n) + 1) ELSE u + ln(0.01::DOUBLE / fpr) * coalesce(x, 0) END, 6) AS threshold, fpr FROM f, s, e""",
     "pair_classify": f"""WITH {_PAIRS}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY z DESC, b) AS k FROM pairs) WHERE k = 1), n AS (SELECT b, count(*) AS n FROM tb GROUP BY 1), x AS (SELECT a, b, z, round(shared / n::DOUBLE, 6) AS share FROM best JOIN n USING (b))
 SELECT a, b, share, CASE WHEN share >= 0.6 THEN 'version' WHEN z > 20 THEN 'influence' WHEN z > 5 THEN 'weak' ELSE 'none' END AS relation FROM x""",
-    "doc_frequency": r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[^ \t\r\n]+') AS w FROM benchmark), k AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 1], ' ') AS key FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2))
+    "doc_frequency": r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\r\n]+') AS w FROM documents), k AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2))
 SELECT key, count(*) AS df FROM k GROUP BY 1 HAVING count(*) > 1""",
     "jaccard_pairs": f"""WITH {_PAIRS}, x AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS u FROM documents), y AS (SELECT item_id, list_distinct(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS v FROM benchmark)
 SELECT doc_id, item_id, round(len(list_intersect(u, v)) / (len(u) + len(v) - len(list_intersect(u, v)))::DOUBLE, 6) AS jaccard, round(len(list_intersect(u, v)) / len(v)::DOUBLE, 6) AS contained FROM pairs JOIN x ON a = doc_id JOIN y ON b = item_id""",
@@ -215,7 +221,7 @@ SELECT p_partkey, key, o.p_type FROM k LEFT JOIN o USING (key)""",
     "cascade_resolve": """WITH p AS (SELECT p_partkey, p_type, p_name || '|' || p_brand || '|' || p_size AS k1, p_name || '|' || p_brand AS k2 FROM part), r AS (SELECT * FROM p WHERE p_partkey % 3 = 0),
 a AS (SELECT k1, min(p_type) AS t FROM r GROUP BY 1 HAVING count(DISTINCT p_type) = 1), b AS (SELECT k2, min(p_type) AS t FROM r GROUP BY 1 HAVING count(DISTINCT p_type) = 1)
 SELECT p_partkey, coalesce(a.t, b.t) AS p_type, CASE WHEN a.t IS NOT NULL THEN 'exact' WHEN b.t IS NOT NULL THEN 'name' ELSE 'hash' END AS method, CASE WHEN a.t IS NOT NULL THEN 1.0::DOUBLE WHEN b.t IS NOT NULL THEN 0.75 ELSE 0.5 END AS confidence FROM p LEFT JOIN a USING (k1) LEFT JOIN b USING (k2)""",
-    "substring_match": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 1, 40)) WHERE length(b.text) >= 3",
+    "substring_match": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 3",
     "html_text": f"SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, trim(regexp_replace({_TEXT}, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM pages",
     "link_extract": """WITH l AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages) SELECT page_id, unnest(range(1, len(h) + 1))::INT AS n, unnest(h) AS href FROM l""",
     "url_slug": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '([^/]*)/?$', 1) AS slug FROM pages",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,23 +30,47 @@ def stale(old: DataFrame, listed: DataFrame, referenced: DataFrame, key: str, bl
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside path and renames, so readers see the old table or the new one."""
+    """Writes beside path, sets the old table aside, and renames the new one to path. A reader finds the old table, the new
+    one or, between the two renames, none; a writer that is lost there leaves both whole, and restore_table() or the next
+    call puts the old one back."""
+    restore_table(df.sparkSession, path)
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     fresh = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    fs.delete(hadoop(path), True)
-    fs.rename(hadoop(fresh), hadoop(path))
+    aside = hadoop(f"{path}.old")
+    if fs.exists(hadoop(path)) and not fs.rename(hadoop(path), aside):
+        raise OSError(f"cannot set {path} aside")
+    if not fs.rename(hadoop(fresh), hadoop(path)):
+        restore_table(spark, path)
+        raise OSError(f"cannot publish {path}")
+    fs.delete(aside, True)
 
 
-def content_hash(df: DataFrame, key: list[str], buckets: int = 256) -> DataFrame:
+def restore_table(spark: SparkSession, path: str) -> bool:
+    """Puts back the table that a lost replace_table() had set aside; what it left beside a table in place goes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = hadoop(f"{path}.old")
+    if not fs.exists(aside):
+        return False
+    if fs.exists(hadoop(path)):
+        return bool(fs.delete(aside, True)) and False
+    return bool(fs.rename(aside, hadoop(path)))
+
+
+def content_hash(df: DataFrame, key: list[str], digits: int = 2, levels: int = 1) -> DataFrame:
     """content_sha256 and n_rows of a table, whatever the order of its rows.
 
-    Rows are hashed, hashes gathered in order within buckets of the leading hash digits, and the buckets' hashes hashed
-    in order; nothing larger than a bucket's hashes meets in one task.
+    Rows are hashed; hashes are gathered in order within buckets of the leading digits x levels hash digits, hashed, and
+    the buckets' hashes in the same way with digits less at each level: a tree, so nothing larger than a bucket meets in one
+    task. One level of two digits suits up to some millions of rows; each further digit holds 16 times as many. The hash
+    depends on digits and levels, not on how Spark deals the rows.
     """
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in [*key, *sorted(set(df.columns) - set(key))]]), 256)
-    hashed = df.select(row.alias("h")).withColumn("b", F.substring("h", 1, 2 if buckets >= 256 else 1))
-    per = hashed.groupBy("b").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    per = df.select(row.alias("h")).select(F.col("h").alias("b"), "h", F.lit(1).cast("long").alias("n"))
+    for level in range(levels, 0, -1):
+        inner = F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])
+        per = per.groupBy(F.substring("b", 1, digits * level).alias("b")).agg(F.sha2(F.concat_ws("", inner), 256).alias("h"), F.sum("n").alias("n"))
     return per.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])), 256).alias("content_sha256"), F.sum("n").alias("n_rows"))

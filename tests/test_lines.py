@@ -13,25 +13,26 @@ from tessera.operators import linkage, lines, names, schemas
 from tessera.sources import archives, midi
 
 
-def test_plain_equals_the_column(spark):
-    texts = ["Beyoncé & JAY-Z", "Don't  Stop!", "  ", "Straße +Æon", None, "AC/DC"]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce(linkage.fold(F.col("t")), F.lit("")).alias("f")).collect()
-    assert [r.f for r in got] == [names.plain(t) for t in texts]
+def test_artist_rules(spark):
+    rows = [("Gaye, Marvin", "Marvin Gaye", 97, 100), ("Queen Latifah", "Queen", 0, 80), ("Pete Drake", "Drake", 0, 80), ("Elvis Presley and the Jordanaires", "Elvis Presley", 90, 100), ("Prince", "Prince & The Revolution", 90, 100), ("The Beatles", "Beatles", 100, 100), ("", "x", 0, 0), (None, "x", 0, 0), ("Queens", "Queen", 85, 100), ("Simon Garfunkel", "Simon & Garfunkel", 97, 100), ("feat. X", "X", 0, 0)]
+    df = spark.createDataFrame([(w, a, float(names.sorted_ratio((w or "").lower(), a.lower())), 100.0) for w, a, _, _ in rows], "who string, act string, ratio double, sets double")
+    got = df.select(names.act_score(F.col("who"), names.act_key(F.col("act")), F.col("ratio"), F.col("sets")).alias("s")).collect()
+    for (who, act, low, high), r in zip(rows, got, strict=True):
+        assert low <= r.s <= high, (who, act, r.s)
 
 
-def test_artist_rules():
-    assert names.artist_matches("Gaye, Marvin", "Marvin Gaye") >= 97
-    assert names.artist_matches("Queen Latifah", "Queen") <= 80
-    assert names.artist_matches("Pete Drake", "Drake") <= 80
-    assert names.artist_matches("Elvis Presley and the Jordanaires", "Elvis Presley") >= 90
-    assert names.artist_matches("Prince", "Prince & The Revolution") >= 90
-    assert names.artist_matches("The Beatles", "Beatles") == 100 and names.artist_matches("", "x") == 0
+def test_ratios_by_sets():
+    assert names.set_ratio("a b", "b a c") == 100 and names.set_ratio("", "a") == 0
+    assert round(names.set_ratio("abba gold", "abba silver"), 4) == max(round(200 * 4 / 13, 4), round(200 * 4 / 15, 4), round(200 * 6 / 20, 4))
 
 
-def test_filler_is_a_run_of_tokens_and_never_backtracks():
-    assert names.filler("") and names.filler("2live") and names.filler("kar12xg") and not names.filler("dancing")
-    assert not names.filler("1" * 59 + "é") and not names.filler("1" * 61)
-    assert names.explained("", "") and not names.explained("", "abba") and names.explained("2abbafeatcher", "abba")
+def test_filler_is_a_run_of_tokens(spark):
+    known = {"": True, "2live": True, "kar12xg": True, "dancing": False, "1" * 59 + "é": False, "1" * 61: False}
+    df = spark.createDataFrame([(t,) for t in known], "t string")
+    assert {r.t: r.f for r in df.select("t", names.filler(F.col("t")).alias("f")).collect()} == known
+    one = spark.createDataFrame([("2abbafeatcher", "abba", True), ("", "abba", False), ("abb", "abba", False), ("xabba", "abba", False), ("abba", "abba", True)], "t string, a string, want boolean")
+    assert all(r.f == r.want for r in one.select("want", names.explained(F.col("t"), F.col("a")).alias("f")).collect())
+    assert one.filter("t = ''").select(names.explained(F.col("t")).alias("f")).first().f
 
 
 def test_names_match_works(spark):
@@ -48,6 +49,10 @@ def test_names_match_works(spark):
     df = spark.createDataFrame(rows, "name string, title string, artists array<string>, want string")
     for r in names.match_names(df).collect():
         assert (r.reason, r.accepted) == (r.want, r.want == "accept"), r
+    assert names.match_names(df.unionByName(df)).count() == 2 * len(rows)
+    scores = {r.name: (r.title_score, r.artist_score) for r in names.match_names(df).collect()}
+    assert scores["queenbohemianrhapsody2.mid"] == (100.0, 100.0) and scores["midi/Imagine.mid"] == (100.0, 0.0) and scores[None] == (0.0, 0.0)
+    assert scores["Elvis - Always On My Mind.mid"][0] == 100 and scores["Elvis - Always On My Mind.mid"][1] < 85
     assert names.match_names(df.limit(0)).collect() == []
 
 

@@ -39,7 +39,7 @@ def test_final_set_equals_the_loop(spark):
         assert {r.work_id for r in fusion.final_set(df, target, floor, 1950, 1952).collect()} == {w[0] for w in chosen}
 
 
-def test_evidence_equals_the_direct_formula(spark):
+def test_evidence_equals_the_direct_formula(spark, monkeypatch):
     rng = random.Random(5)
     a = {i: {rng.randint(0, 30) for _ in range(12)} for i in range(8)}
     b = {i: {rng.randint(0, 30) for _ in range(6)} for i in range(4)}
@@ -61,7 +61,11 @@ def test_evidence_equals_the_direct_formula(spark):
             want[i, j] = round((s - r * mu) / sqrt(r * var + 4), 5)
     t = spark.createDataFrame([(i, str(k)) for i, x in a.items() for k in x], "a int, key string")
     u = spark.createDataFrame([(i, str(k)) for i, x in b.items() for k in x], "b int, key string")
-    got = evidence.pair_evidence(t, u, n).collect()
+    sizes = t.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    got = evidence.pair_evidence(t, sizes, u, n).collect()
+    by_shuffle = sorted(map(tuple, got))
+    monkeypatch.setattr(evidence, "FEW", 1)
+    assert sorted(map(tuple, evidence.pair_evidence(t, sizes, u, n).collect())) == by_shuffle
     assert got and all(abs(round(r.z, 5) - want[r.a, r.b]) <= 2e-5 for r in got)
 
 
