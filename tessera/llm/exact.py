@@ -56,13 +56,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.col("_id").asc_nulls_last() if keep == "smallest" else F.col("_id").desc_nulls_last()
     rows = rows.select("_id", "_sha", "_salt", "_cells", F.count(F.lit(1)).over(_cell()).alias("_n"), best("_id").over(_cell()).alias("_best"), F.row_number().over(_cell().orderBy(order)).alias("_at"))
     rows = settle(rows)
-    one = rows.filter("_cells = 1").select("_id", "_sha", "_at", F.col("_best").alias("keep_id"), F.col("_n").alias("group_size"))
+    one = rows.filter("_cells = 1").select("_id", "_sha", "_at", F.col("_best").alias("keep_id"), F.col("_n").alias("group_size"), F.lit(True).alias("_here"))
     # a hot text's cells: a row each, merged per text, then handed back per cell, so no join key holds more than a cell
     heads = rows.filter("_cells > 1 and _at = 1").select("_sha", "_salt", "_n", "_best")
     of_text = Window.partitionBy("_sha")
-    heads = heads.select("_sha", "_salt", best("_best").over(of_text).alias("keep_id"), F.sum("_n").over(of_text).alias("group_size"))
-    many = rows.filter("_cells > 1").join(heads, ["_sha", "_salt"]).select("_id", "_sha", "_at", "keep_id", "group_size")
-    kept = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_at") == 1)
+    heads = heads.select("_sha", "_salt", "_best", best("_best").over(of_text).alias("keep_id"), F.sum("_n").over(of_text).alias("group_size"))
+    first = F.min(F.when(F.col("_best").eqNullSafe(F.col("keep_id")), F.col("_salt"))).over(of_text)  # rows without an id lie in several cells
+    heads = heads.select("_sha", "_salt", "keep_id", "group_size", (F.col("_salt") == first).alias("_here"))
+    many = rows.filter("_cells > 1").join(heads, ["_sha", "_salt"]).select("_id", "_sha", "_at", "keep_id", "group_size", "_here")
+    kept = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_at") == 1) & F.col("_here")
     return one.unionByName(many).select(F.col("_id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("_sha").alias("text_sha256"))
 
 

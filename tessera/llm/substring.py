@@ -28,7 +28,6 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -123,23 +122,24 @@ def index_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 @dataclass
 class Run:
-    path: str
+    name: str
     level: int
-    table: str = ""
 
 
 class FingerprintIndex:
     """Sorted immutable runs of window hashes, in a folder that driver and executors share.
 
-    A run is a Parquet table in buckets by hash, one sorted file a bucket. Every change writes a new manifest; the one with
-    the largest number holds. Runs that a merge has replaced stay until vacuum(), for readers that still use them.
+    A run is a folder of Parquet files, in buckets by hash, one sorted file a bucket. Runs are read as partitions of one
+    bucketed table, so a task has the same bucket of all of them. (A union of bucketed tables will not do: Spark 4.1 takes it
+    for bucketed too, but runs its parts in tasks of their own.) Every change writes a new manifest; the one with the largest
+    number holds. Runs that a merge has replaced stay until vacuum(), for readers that still use them.
     """
 
     def __init__(self, spark: SparkSession, folder: str, window: int = WINDOW, gram: int = GRAM, fan_in: int = FAN_IN, buckets: int = 0):
         self.spark, self.folder, self.window, self.gram, self.fan_in = spark, folder, window, gram, fan_in
         self.buckets = buckets or partitions(spark)
         self.runs: list[Run] = []
-        self.version, self.replaced = 0, []
+        self.version, self.replaced, self.tables = 0, [], []
         self.given: set[str] = set()  # runs of earlier calls
 
     @classmethod
@@ -153,8 +153,8 @@ class FingerprintIndex:
         held = json.loads(spark.read.text(found[-1], wholetext=True).first()[0])
         index = cls(spark, folder, held["window"], held["gram"], held["fan_in"], held["buckets"])
         index.version = held["version"]
-        index.runs = [index._registered(Run(r["path"], r["level"])) for r in held["runs"]]
-        index.given = {r.path for r in index.runs}
+        index.runs = [Run(r["name"], r["level"]) for r in held["runs"]]
+        index.given = {r.name for r in index.runs}
         return index
 
     def _publish(self) -> None:
@@ -163,27 +163,34 @@ class FingerprintIndex:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         to, aside = (hadoop.Path(f"{self.folder}/{name}{self.version:09}.json") for name in ("manifest-", f"_{uuid.uuid4().hex}-"))
         fs = to.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        body = {"version": self.version, "window": self.window, "gram": self.gram, "fan_in": self.fan_in, "buckets": self.buckets, "runs": [{"path": r.path, "level": r.level} for r in self.runs]}
+        body = {"version": self.version, "window": self.window, "gram": self.gram, "fan_in": self.fan_in, "buckets": self.buckets, "runs": [{"name": r.name, "level": r.level} for r in self.runs]}
         out = fs.create(aside, False)
         out.write(bytearray(json.dumps(body).encode()))
         out.close()
         if fs.exists(to) or not fs.rename(aside, to):
             raise RuntimeError(f"another writer has changed the index in {self.folder}")
 
-    def _registered(self, run: Run) -> Run:
-        run.table = f"tessera_run_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {run.table} ({INDEX.replace(' byte', ' tinyint').replace(' long', ' bigint')}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{run.path}'")
-        return run
+    def _path(self, run: Run) -> str:
+        return f"{self.folder}/run={run.name}"
+
+    def _table(self) -> str:
+        self.tables.append(f"tessera_index_{uuid.uuid4().hex}")
+        return self.tables[-1]
 
     def _file(self, rows: DataFrame, level: int) -> Run:
-        path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        run = Run(path, level, f"tessera_run_{uuid.uuid4().hex}")
-        rows.write.option("compression", "zstd").option("path", path).bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(run.table)
+        """rows come dealt by hash to as many tasks as there are buckets, so a bucket is one file."""
+        run = Run(uuid.uuid4().hex, level)
+        rows.write.option("compression", "zstd").option("path", self._path(run)).bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(self._table())
         return run
 
-    def _per_hash(self, run: Run) -> DataFrame:
-        """hash, low, high (texts), n: a run's, with no exchange, as its buckets are by hash."""
-        return self.spark.table(run.table).groupBy("hash").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.max("n").alias("n"))
+    def read(self, runs: list[Run]) -> DataFrame:
+        """hash, late, id, sig, n and run of some runs, known to be in buckets by hash."""
+        name = self._table()
+        columns = INDEX.replace(" byte", " tinyint").replace(" long", " bigint")
+        self.spark.sql(f"CREATE TABLE {name} ({columns}, run string) USING parquet PARTITIONED BY (run) CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self.folder}'")
+        for run in runs:
+            self.spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION (run = '{run.name}') LOCATION '{self._path(run)}'")
+        return self.spark.table(name)
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Files a batch (own, t) as a new run; the hashes that stand in it more than once or in it and an earlier run.
@@ -191,55 +198,53 @@ class FingerprintIndex:
         Equal texts within one call are known otherwise, so a hash counts if it has several texts, or stands in a run of an earlier call.
         """
         new = self._file(index_rows(docs, self.window, self.gram).repartition(self.buckets, "hash"), 0)
-        joined, repeated = self._per_hash(new), F.expr("low != high or n > 1")
-        for i, run in enumerate(self.runs):
-            old = self._per_hash(run).select("hash", F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}"))
-            joined = joined.hint("merge").join(old, "hash", "left")
-            other = F.col(f"low{i}").isNotNull() if run.path in self.given else F.expr(f"low{i} != low or high{i} != low")
-            repeated = repeated | F.coalesce(other, F.lit(False))
-        found = settle(joined.filter(repeated).select("hash"))
+        found = self.read([new]).groupBy("hash").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.max("n").alias("n"))
+        repeated = F.expr("low != high or n > 1")
+        if self.runs:
+            old = self.read(self.runs).groupBy("hash").agg(F.min("sig").alias("was"), F.max("sig").alias("were"), F.max(F.col("run").isin(sorted(self.given))).alias("given"))
+            found = found.hint("merge").join(old, "hash", "left")
+            repeated = repeated | F.coalesce(F.expr("given or was != low or were != low"), F.lit(False))
+        found = settle(found.filter(repeated).select("hash"))
         self.runs.append(new)
         self._publish()
         self.merge()
         return found
 
     def merge(self) -> None:
-        """Merges FAN_IN runs of a level into one of the next, as long as there are so many. Both sides of the merge have
-        the same buckets, so nothing is exchanged; a row filed twice is kept once."""
+        """Merges FAN_IN runs of a level into one of the next, as long as there are so many: bucket by bucket, with no
+        exchange; a row filed twice is kept once."""
         while True:
             levels = [r.level for r in self.runs]
             full = next((x for x in levels if levels.count(x) >= self.fan_in), None)
             if full is None:
                 return
             old = [r for r in self.runs if r.level == full]
-            rows = reduce(DataFrame.unionByName, (self.spark.table(r.table) for r in old))
-            run = self._file(rows.groupBy("hash", *KEY).agg(F.max("n").alias("n")), full + 1)
-            if any(r.path in self.given for r in old):
-                self.given.add(run.path)
+            run = self._file(self.read(old).groupBy("hash", *KEY).agg(F.max("n").alias("n")), full + 1)
+            if any(r.name in self.given for r in old):
+                self.given.add(run.name)
             self.runs = [r for r in self.runs if r.level != full] + [run]
             self.replaced += old
             self._publish()
 
     def holders(self, hashes: DataFrame) -> DataFrame:
         """late, id, sig, keys: the documents that hold one of hashes, with their own."""
-        rows = reduce(DataFrame.unionByName, (self.spark.table(r.table).select("hash", *KEY).join(hashes, "hash") for r in self.runs))
-        return rows.groupBy(*KEY).agg(F.collect_set("hash").alias("keys"))
+        return self.read(self.runs).select("hash", *KEY).join(hashes, "hash").groupBy(*KEY).agg(F.collect_set("hash").alias("keys"))
+
+    def close(self) -> None:
+        """Forgets the tables' names; the files stay."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
 
     def vacuum(self) -> None:
         """Deletes what merges have replaced."""
+        self.close()
         for run in self.replaced:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run.table}")
-            delete(self.spark, run.path)
+            delete(self.spark, self._path(run))
         self.replaced = []
 
-    def close(self) -> None:
-        """Forgets the tables' names; the files stay."""
-        for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run.table}")
-
     def delete(self) -> None:
         self.close()
-        self.vacuum()
         delete(self.spark, self.folder)
 
 
@@ -377,7 +382,6 @@ def substring_dedup(
     notes = settle(index.holders(repeated.distinct()).join(_later_copies(named), KEY, "full"))
     if lasting:
         index.vacuum()
-        index.close()
     else:
         index.delete()
     tie = F.lit(0).cast("long") if plain else F.col("sig")
