@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.durable import delete, settle, shared_folder
+
+__all__ = ["LOWER", "UPPER", "ascii_lower", "delete", "partitions", "settle", "shared_folder", "small", "table", "whole"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,32 +29,6 @@ def whole(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which driver and executors share. A session on this machine alone may name none: it gets one
-    that is removed with the process; on a cluster that is an error, since executors would write to disks of their own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Texts may be long: parts of the batches with at most so many rows; the session's own limits stay as they are."""
     for batch in batches:
