@@ -3,7 +3,8 @@
 toxicity drops documents that the classifier rejects; exact_dedup keeps the largest doc_id of equal texts;
 simhash_near_dedup keeps the smallest doc_id of each group of near-duplicates; secret_scan replaces secrets in the
 texts and corrects n_chars; packing returns the pieces of training sequences. All stages but the last return the
-columns of documents. Null texts count as empty throughout; an empty table passes through.
+columns of documents. Null texts count as empty throughout; an empty table passes through. run() removes what a stage wrote
+once the next has written; the last stage's table stays, since the result reads it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact, packing, secret_scan, simhash, toxicity
-from tessera.llm.common import shared_folder, table
+from tessera.llm.common import delete, shared_folder, table
 from tessera.llm.queries import END_ID, tokenizer_file
 
 
@@ -46,8 +47,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if done:
+            delete(spark, done)
+        done = path
     return docs
