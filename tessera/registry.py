@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import graphs, lanes, ranking, texts, timelines
+from tessera.plans import graphs, lags, lanes, ranking, scalars, texts, timelines
 
-MODULES = (texts, ranking, timelines, graphs, lanes)
+MODULES = (texts, ranking, timelines, graphs, lanes, scalars, lags)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
