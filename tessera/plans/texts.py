@@ -40,8 +40,10 @@ def rare_ngram_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.best_window(_pairs(spark, sf), ["a"], [F.desc("z"), F.col("b")])
 
 
-_GRAM = "SELECT DISTINCT {k} AS {n}, array_to_string(w[i:i + 4], ' ') AS key FROM (SELECT {k}, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT {k}, regexp_extract_all(text, '[^ \\t\\r\\n]+') AS w FROM {t}) WHERE len(w) >= 5)"
-_PAIRS = f"""ta AS ({_GRAM.format(k="doc_id", n="a", t="documents")}), tb AS ({_GRAM.format(k="item_id", n="b", t="benchmark")}),
+_GRAM = "SELECT DISTINCT {k} AS {n}, array_to_string(w[i:i + {m}], ' ') AS key FROM (SELECT {k}, w, unnest(range(1, len(w) - {m} + 1)) AS i FROM (SELECT {k}, regexp_extract_all(text, '[^ \\t\\r\\n]+') AS w FROM {t}) WHERE len(w) > {m})"
+def _pairs_sql(n: int) -> str:
+    ta, tb = _GRAM.format(k="doc_id", n="a", t="documents", m=n - 1), _GRAM.format(k="item_id", n="b", t="benchmark", m=n - 1)
+    return f"""ta AS ({ta}), tb AS ({tb}),
 nn AS (SELECT ((SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark))::DOUBLE AS n),
 df AS (SELECT key, count(*) AS df FROM (SELECT key FROM ta UNION ALL SELECT key FROM tb) GROUP BY 1 HAVING count(*) <= 8),
 t AS (SELECT b, key, df, greatest(df - 1, 0) + 2 AS d1, greatest(df - 2, 0) + 2 AS d2, n FROM tb JOIN df USING (key), nn),
@@ -54,6 +56,9 @@ ev AS (SELECT a, b, shared, s, size / mean * (mu0 + dm) AS mu, size / mean * (va
 pairs AS (SELECT a, b, shared, round(s, 6) AS s, round(mu, 6) AS mu, round(sqrt(greatest(v, 0)), 6) AS sigma, round((s - mu) / sqrt(v + 4), 6) AS z FROM ev)"""
 
 
+_PAIRS = _pairs_sql(N)
+
+
 def stouffer_fuse(spark: SparkSession, sf: str) -> DataFrame:
     """Word and line evidence fused; a channel that a pair lacks counts as absent."""
     p = _pairs(spark, sf).select("a", "b", F.col("z").alias("zw"))
@@ -201,6 +206,8 @@ _GUESS = f"g AS (SELECT doc_id, quality, round(1 - ({_ODD}) / greatest(length(te
 _THEMES = ", ".join(f"('{n}', '{ch}', {k}::DOUBLE)" for n, ch, k in (("vowels", "e", 6.0), ("pauses", ",", 40.0), ("breaks", ".", 20.0)))
 SQL = {
     "rare_ngram_evidence": f"WITH {_PAIRS} SELECT a, b, shared, s, mu, sigma, z FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY z DESC, b) AS k FROM pairs) WHERE k = 1",
+    "stouffer_fuse": f"""WITH p AS (WITH {_PAIRS} SELECT a, b, z AS zw FROM pairs), l AS (WITH {_pairs_sql(12)} SELECT a, b, z AS zl FROM pairs)
+SELECT a, b, zw, zl, round((coalesce(zw, 0) + 0.7::DOUBLE * coalesce(zl, 0)) / sqrt((zw IS NOT NULL)::INT + 0.49::DOUBLE * (zl IS NOT NULL)::INT), 6) AS z FROM p FULL JOIN l USING (a, b)""",
     "hub_z": f"""WITH {_PAIRS}, sa AS (SELECT a, avg(z) AS m, stddev_pop(z) AS sd FROM pairs GROUP BY 1), sb AS (SELECT b, avg(z) AS m, stddev_pop(z) AS sd FROM pairs GROUP BY 1)
 SELECT a, b, z, CASE WHEN sa.sd > 1e-9 THEN round((z - sa.m) / sa.sd, 6) END AS hub_a, CASE WHEN sb.sd > 1e-9 THEN round((z - sb.m) / sb.sd, 6) END AS hub_b FROM pairs JOIN sa USING (a) JOIN sb USING (b)""",
     "tail_prob": f"""WITH {_PAIRS}, smp AS (SELECT a, b, z FROM pairs ORDER BY md5(a || '|' || b), a, b LIMIT {NULL_SAMPLE})

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import graphs, lags, lanes, ranking, scalars, texts, timelines
+from tessera.plans import graphs, lags, lanes, lineages, ranking, scalars, searches, texts, timelines
 
-MODULES = (texts, ranking, timelines, graphs, lanes, scalars, lags)
+MODULES = (texts, ranking, timelines, graphs, lanes, scalars, lags, lineages, searches)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
