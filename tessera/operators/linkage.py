@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 import pandas as pd
@@ -11,11 +13,29 @@ from pyspark.sql import functions as F
 from .sequences import let
 
 
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition, marks off, is one other letter or digit; and those where it is several."""
+    one, several = {}, {}
+    for code in (*range(0x80, 0x3000), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+        c = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if plain != c and re.fullmatch("[a-z0-9&+'’`]", plain):
+            one[c] = plain
+        elif len(plain) > 1 and re.search("[a-z0-9]", plain):
+            several[c] = re.sub("[^a-z0-9]", " ", plain)
+    return one, several
+
+
+_ONE, _SEVERAL = _decomposed()
+
+
 def fold(text: Column) -> Column:
-    """Lower case, accents of the Latin letters off, & and + as 'and', apostrophes out, the rest that is no letter or digit as single spaces."""
-    x = F.lower(text)
-    x = F.translate(x, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    x = F.regexp_replace(F.replace(F.replace(x, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), r"\s*[&+]\s*", " and ")
+    """Lower case, characters by their compatibility decomposition without marks, & and + as 'and', apostrophes out, the rest
+    that is no letter or digit of ASCII as single spaces."""
+    x = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    wide = F.transform(F.regexp_extract_all(x, F.lit("(?s)."), 0), lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for p in _SEVERAL.items() for v in p]), c), c))
+    x = F.when(x.rlike("[" + "".join(_SEVERAL) + "]"), F.array_join(wide, "")).otherwise(x)
+    x = F.regexp_replace(F.regexp_replace(x, r"\p{M}+", ""), r"\s*[&+]\s*", " and ")
     x = F.regexp_replace(x, "['’`]", "")
     return F.trim(F.regexp_replace(x, r"[^a-z0-9]+", " "))
 

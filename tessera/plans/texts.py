@@ -200,7 +200,7 @@ _HTML = r"regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</s
 _TEXT = f"regexp_replace({_HTML}, '<[^>]*>', ' ', 'g')"
 for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
     _TEXT = f"replace({_TEXT}, '{_e}', '{_c}')"
-_FOLD = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(translate(lower({t}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), 'ß', 'ss'), 'æ', 'ae'), '\s*[&+]\s*', ' and ', 'g'), '[''’`]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+_FOLD = r"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({t})), '\s*[&+]\s*', ' and ', 'g'), '[''’`]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 _ODD = " + ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in "!|%*$&#")
 _GUESS = f"g AS (SELECT doc_id, quality, round(1 - ({_ODD}) / greatest(length(text), 1)::DOUBLE, 6) AS score FROM documents JOIN labels USING (doc_id))"
 _THEMES = ", ".join(f"('{n}', '{ch}', {k}::DOUBLE)" for n, ch, k in (("vowels", "e", 6.0), ("pauses", ",", 40.0), ("breaks", ".", 20.0)))
