@@ -22,6 +22,7 @@ carried as they are, null too; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -49,9 +50,12 @@ class Encoder:
     The fast way holds for texts of ASCII and accented Latin letters (PLAIN): there the tokenizer's normaliser is lower(),
     and its pieces are those of PIECE. Pieces are encoded in bulk by the same BPE model, whose ids say where a piece ends.
     Other texts are encoded run by run, or as a whole if they have characters that split() takes for white space and the
-    tokenizer may not.
+    tokenizer may not. A tokenizer with other rules than RULES encodes all texts as a whole.
     """
 
+    #: The normaliser's steps, the splitting pattern and the end of a word that the fast way holds for.
+    RULES = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>")
+
     ODD = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]").search
     UNSPLIT = re.compile("[\x1c-\x1f]").search
     PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|\n|[^\\sa-z0-9\xdf-\xf6\xf8-\u017f]+").findall
@@ -62,6 +66,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.bare = Tokenizer.from_str(text), Tokenizer.from_str(text)
+        self.known_rules = self._rules(json.loads(text)) == self.RULES
         self.bare.encode_special_tokens = True
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -78,6 +83,12 @@ class Encoder:
         self.bare_added = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")", re.NOFLAG if self.bare_added else re.IGNORECASE)
 
+    @staticmethod
+    def _rules(held: dict) -> tuple:
+        steps = (held.get("normalizer") or {}).get("normalizers") or []
+        split = ((held.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        return [x.get("type") for x in steps], (split.get("pattern") or {}).get("Regex"), held["model"].get("end_of_word_suffix")
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -114,6 +125,8 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Of texts without added tokens."""
+        if not self.known_rules:
+            return self._whole(texts)
         out: list[bytes] = []
         at = 0
         while at < len(texts):

@@ -316,6 +316,21 @@ def test_pieces_have_no_limit_and_decode_any_bytes(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in pieces.Matcher(data).encode(texts)] == [lib.encode(t) for t in texts]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import json
+
+    from tokenizers import Tokenizer
+
+    held = json.loads(queries.tokenizer_file("word_bpe_49k.json"))
+    assert packing.Encoder(json.dumps(held)).known_rules
+    held["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]+"
+    text = json.dumps(held)
+    rows = ["abc 12 it's x1y2", "a<|endoftext|>b 99", ""]
+    encoder, tok = packing.Encoder(text), Tokenizer.from_str(text)
+    assert not encoder.known_rules
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.batch(rows)] == [tok.encode(t, add_special_tokens=False).ids for t in rows]
+
+
 # ------------------------------------------------------------------ the pipeline's own cases
 def test_pipeline_on_odd_tables(spark, tmp_path):
     import corpus_pipeline as p
