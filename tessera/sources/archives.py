@@ -19,9 +19,6 @@ def tar_members(files: DataFrame, path: str = "path", content: str = "content",
     files: binary files, as spark.read.format("binaryFile") gives them; an archive is a row, so it is read as a stream within
     one task and leaves it in batches of `size` members. A damaged archive gives the members before the damage.
     """
-    conf, key = files.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) > 4:  # few archives at once
-        conf.set(key, "4")
     names = [c.split()[0] for c in MEMBER.split(", ")]
     kinds = [pa.string(), pa.string(), pa.string(), pa.binary()]
 

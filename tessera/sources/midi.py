@@ -138,22 +138,21 @@ def parse_bytes(data: bytes) -> tuple[int, list[str], list[dict]]:
     return division, sorted({*warnings, *(["track_count_mismatch"] if n != tracks else [])}), events
 
 
-def _few_files_at_once(df: DataFrame, files: int = 64) -> None:
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) > files:
-        conf.set(key, str(files))
+def _few_at_once(batches: Iterator[pa.RecordBatch], files: int = 64) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, files):
+            yield batch.slice(at, files)
 
 
 def parse_midi(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, error (null if usable), ppq, warnings, events of binary files, as spark.read.format("binaryFile") gives them.
 
     A null content counts as empty; an unusable file keeps its row, with the reason."""
-    _few_files_at_once(files)
     kind = pa.struct([("track", pa.int32()), ("seq", pa.int32()), ("tick", pa.int64()), ("status", pa.int32()), ("meta", pa.int32()), ("data", pa.binary())])
     schema = pa.schema([("path", pa.string()), ("error", pa.string()), ("ppq", pa.int32()), ("warnings", pa.list_(pa.string())), ("events", pa.list_(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few_at_once(batches):
             for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 row = {"path": p, "error": None, "ppq": None, "warnings": [], "events": []}
                 try:
@@ -194,12 +193,11 @@ def repair(events: list[dict], ppq: int) -> list[tuple[int, int, int, int, int,
 
 def notes(parsed: DataFrame) -> DataFrame:
     """path, track, channel (0..15), pitch, start, end (ticks), velocity of parse_midi's usable files."""
-    _few_files_at_once(parsed)
     names = [c.split()[0] for c in NOTE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), *[pa.int32()] * 3, *[pa.int64()] * 2, pa.int32()]
-        for batch in batches:
+        for batch in _few_at_once(batches):
             for row in batch.to_pylist():
                 found = repair(row["events"], row["ppq"])
                 columns = [[row["path"]] * len(found), *(list(c) for c in zip(*found, strict=True))] if found else [[]] * 7

@@ -9,7 +9,7 @@ from collections import deque
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import linkage, lines, names, schemas
+from tessera.operators import lines, names, schemas
 from tessera.sources import archives, midi
 
 
