@@ -30,7 +30,7 @@ def clock_maps(spark: SparkSession, sf: str) -> DataFrame:
     grid = first.withColumn("k", (F.row_number().over(Window.partitionBy("user_id").orderBy("beat")) - 1).cast("double"))
     many = grid.groupBy("user_id").agg(F.min("beat").alias("low"), F.max("beat").alias("high"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
     points = many.select("user_id", F.explode(F.array(F.col("low") - 5, (F.col("low") + F.col("high")) / 2, F.col("high") + 5)).alias("at"))
-    return timemaps.mapped(points, grid.join(many.select("user_id"), "user_id", "left_semi"), "user_id", "at", "beat", "k", "place", 4).select("user_id", F.round("at", 4).alias("at"), "place")
+    return timemaps.mapped(points, grid.join(many.select("user_id"), "user_id", "left_semi"), "user_id", "at", "beat", "k", "place", 4).select("user_id", F.round("at", 6).alias("at"), "place")
 
 
 def tempo_clock(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +162,7 @@ SQL = {
 m AS (SELECT user_id, min(beat) AS low, max(beat) AS high FROM g GROUP BY 1 HAVING count(*) >= 2), p AS (SELECT user_id, unnest([low - 5, (low + high) / 2, high + 5]) AS q FROM m),
 s0 AS (SELECT *, (lead(k) OVER w - k) / (lead(beat) OVER w - beat) AS sl FROM g WINDOW w AS (PARTITION BY user_id ORDER BY beat)), s AS (SELECT user_id, beat, k, coalesce(sl, lag(sl) OVER (PARTITION BY user_id ORDER BY beat)) AS sl FROM s0),
 f AS (SELECT p.user_id, q, max(s.beat) FILTER (WHERE s.beat <= q) AS x, min(s.beat) AS x0 FROM p JOIN s USING (user_id) GROUP BY 1, 2)
-SELECT f.user_id, round(q, 4) AS "at", round(k + (q - beat) * sl, 4) AS place FROM f JOIN s ON f.user_id = s.user_id AND s.beat = coalesce(x, x0)""",
+SELECT f.user_id, round(q, 6) AS "at", round(k + (q - beat) * sl, 4) AS place FROM f JOIN s ON f.user_id = s.user_id AND s.beat = coalesce(x, x0)""",
     "tempo_clock": f"""WITH {_NOTES}, n AS (SELECT user_id, beat, max(token) AS t FROM notes GROUP BY 1, 2), x AS (SELECT *, coalesce(lead(beat) OVER (PARTITION BY user_id ORDER BY beat), max(beat) OVER (PARTITION BY user_id) + 8) - beat AS d FROM n)
 SELECT user_id, round(sum(d * (0.4::DOUBLE + t * 0.1::DOUBLE)), 2) AS seconds, round(sum(d / ((t + 2) * 4.0::DOUBLE / CASE WHEN t = 1 THEN 8 ELSE 4 END)), 2) AS bars FROM x GROUP BY 1""",
     "loop_periods": f"""WITH {_SEQ}, c(lag) AS (VALUES (2), (4), (6), (8), (12), (16)), n AS (SELECT user_id, count(*) AS n FROM seq GROUP BY 1),

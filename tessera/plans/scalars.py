@@ -69,7 +69,7 @@ def roundings(spark: SparkSession, sf: str) -> DataFrame:
 
 def folded_tempos(spark: SparkSession, sf: str) -> DataFrame:
     heard = F.col("o_totalprice") / 1000
-    return table(spark, sf, "orders").select("o_orderkey", F.round(numbers.octave_fold(heard, F.lit(110.0)), 6).alias("tempo"), F.round(numbers.share(heard, F.lit(110.0)), 6).alias("share"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(numbers.octave_fold(heard, F.lit(110.0)), 8).alias("tempo"), F.round(numbers.share(heard, F.lit(110.0)), 6).alias("share"))
 
 
 def glides(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +155,7 @@ SELECT item_id, len(list_filter(string_split(x, chr(31)), lambda s: trim(s, E' \
 (CASE WHEN b <= 0 THEN 0 ELSE least(4, greatest(-1, floor(log2(b) + 0.5))) + 1 END)::INT AS length_class FROM x""",
     "folded_tempos": """WITH h AS (SELECT o_orderkey, o_totalprice / 1000 AS p FROM orders), c AS (SELECT o_orderkey, p, unnest([1.0::DOUBLE, 0.5, 2.0, 0.25, 4.0]) AS k, unnest(range(5)) AS i FROM h),
 b AS (SELECT o_orderkey, arg_min(p * k, abs(log2(p * k / 110)) * 1e6 + i * 1e-3) AS x FROM c GROUP BY 1)
-SELECT o_orderkey, round(CASE WHEN abs(log2(p / 110)) > 0.5 THEN x ELSE p END, 6) AS tempo, round(least(p, 110) / greatest(p, 110), 6) AS share FROM h JOIN b USING (o_orderkey)""",
+SELECT o_orderkey, round(CASE WHEN abs(log2(p / 110)) > 0.5 THEN x ELSE p END, 8) AS tempo, round(least(p, 110) / greatest(p, 110), 6) AS share FROM h JOIN b USING (o_orderkey)""",
     "glides": """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS t, 0.8::DOUBLE + l_tax AS r, greatest(0, least(1, l_quantity / 40 - 0.1::DOUBLE)) AS u, greatest(0, l_quantity / 30) AS v FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(u * u * (3 - 2 * u), 6) AS smooth, round(CASE WHEN t >= 30 THEN 30 * (1 + r) / 2 + (t - 30) ELSE r * t + (1 - r) * 30 * (power(v, 3) - power(v, 4) / 2) END, 6) AS consumed FROM x""",
     "snapped_spans": """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity + l_discount AS s, l_quantity + l_discount + l_extendedprice / 400 AS e FROM lineitem),
