@@ -1,6 +1,7 @@
 """Approximate nearest neighbours with a permutation index.
 
-PIVOTS rows, those with the smallest hash of the id, are the pivots and go to all tasks: their number is fixed. A vector
+PIVOTS rows are the pivots and go to all tasks: their number is fixed. They are drawn from DRAWN times as many rows, those
+with the smallest hash of the id, each the farthest from those before it, so a crowd of like vectors has few. A vector
 is represented by its PREFIX nearest pivots in order. Rows are dealt by hash of the id to blocks of about BLOCK
 rows; a block posts each of its vectors in the inverted file of every pivot of its prefix, with the position. A query
 adds, list by list, what the footrule distance to each posted vector falls short of its greatest value:
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIVOTS, PREFIX, BLOCK, ASKED = 512, 128, 32_768, 16_384
-SHARE, ROOT = 0.02, 4.5
+DRAWN, SHARE, ROOT = 4, 0.02, 5.0
 
 
 def usable(vector: Column) -> Column:
@@ -34,6 +35,16 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(x, lambda v: v != 0)
 
 
+def far_apart(vectors: np.ndarray, n: int) -> np.ndarray:
+    """n of the vectors: the first, then always the one farthest from all before it (ties: the earlier)."""
+    picked, away = [0], np.full(len(vectors), np.inf)
+    for _ in range(min(n, len(vectors)) - 1):
+        away = np.minimum(away, ((vectors - vectors[picked[-1]]) ** 2).sum(axis=1))
+        away[picked] = -1
+        picked.append(int(away.argmax()))
+    return vectors[picked[: len(vectors)]]
+
+
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Numbers of each vector's nearest pivots, nearest first, ties by number."""
     out = [np.empty((0, min(prefix, len(pivots))), dtype=np.int16)]
@@ -63,7 +74,9 @@ class Block:
             short[self.holder[span]] += np.minimum(self.prefix - at, self.weight[span])  # a row stands in a list once
         short[slice(*np.searchsorted(self.ids, [qid, qid + 1]))] = -1  # ids are sorted
         n = min(n, len(short))
-        pick = np.arange(len(short)) if n == len(short) else np.sort(np.argpartition(-short, n - 1)[:n])
+        least = np.partition(short, len(short) - n)[len(short) - n]
+        tied = np.flatnonzero(short == least)  # of rows with one footrule the smaller ids: equal vectors are ties to them
+        pick = np.sort(np.concatenate([np.flatnonzero(short > least), tied[: n - int((short > least).sum())]]))
         pick = pick[short[pick] >= 0]
         d = np.sqrt(((self.rows[pick] - q) ** 2).sum(axis=1))
         best: dict[int, float] = {}
@@ -81,8 +94,8 @@ def permutation_search(rows: DataFrame, is_query: Column, id_col: str = "vec_id"
     size = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("count"), F.count_if("q").alias("asked")).orderBy(F.desc("count"), "d").first()
     dim, total, n_asked = (size["d"], size["count"], size["asked"]) if size else (1, 0, 0)
     good = good.filter(F.size("v") == dim)
-    drawn = good.select("v", F.xxhash64("id", F.lit("pivot")).alias("h")).orderBy("h").limit(n_pivots).collect()
-    pivots = np.array([r["v"] for r in drawn]).reshape(-1, dim)
+    drawn = good.select("v", F.xxhash64("id", F.lit("pivot")).alias("h")).orderBy("h", "v").limit(DRAWN * n_pivots).collect()
+    pivots = far_apart(np.array([r["v"] for r in drawn]).reshape(-1, dim), n_pivots)
     prefix = min(prefix, len(pivots))
     measured = min(1.0, max(share, root / max(total, 1) ** 0.5))
     n_blocks, n_parts = max(1, round(total / block)), max(1, -(-n_asked // asked))

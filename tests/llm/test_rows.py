@@ -144,6 +144,25 @@ def test_an_id_with_several_vectors(spark):
     assert found == [(0, 1, 1, 0.1), (0, 2, 2, round(41**0.5, 9))]  # the least vector, (0, 1), asks; the nearest of id 1 answers
 
 
+def test_a_crowd_of_like_vectors_does_not_hide_the_others(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    x[::2] = x[0] + 0.05 * rng.normal(size=(1500, 32))  # half of the rows in one place
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pivots = ann.far_apart(x[:1000], 128)
+    assert len(np.unique(pivots, axis=0)) == 128 and len(ann.far_apart(x[:3], 9)) == 3 and len(ann.far_apart(x[:0], 9)) == 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.permutation_search(df, F.col("vec_id") % 150 == 1).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, got in found.items():
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got & set(np.argsort(d)[:10].tolist()))
+    assert len(found) == 20 and hits >= 0.9 * 10 * len(found)
+
+
 # ------------------------------------------------------------------ secrets, toxicity, quality against restatements
 def slow_base(text):
     """By hand: a scan from left to right for each kind."""
