@@ -22,7 +22,7 @@ def fuse(entries: DataFrame, lists: DataFrame) -> DataFrame:
     e = entries.filter("work_id is not null").join(F.broadcast(lists) if lists.isLocal() else lists, "list_id")
     part = F.col("weight") * F.coalesce("weight_factor", F.lit(1.0)) / (RANK_OFFSET + F.coalesce("pseudo_rank", "rank"))
     works = e.groupBy("work_id").agg(F.round(F.sum(part), 9).alias("score"), F.count_distinct("list_id").alias("n_lists"))
-    return ranked(works, [F.desc("score"), F.desc("n_lists"), F.asc("work_id")]).withColumn("rank", F.col("rank").cast("int"))
+    return ranked(settle(works), [F.desc("score"), F.desc("n_lists"), F.asc("work_id")]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def pool(ranked: DataFrame, top: int, floor: int, first: int, last: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.durable import settle
 from tessera.operators import fusion, ranks
 from tessera.sources.tables import table
 
@@ -14,7 +15,7 @@ LISTS = (("revenue", 6.0, None), ("quantity", 3.0, None), ("price", 1.5, 250))
 
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
-    per = table(spark, sf, "lineitem").groupBy("l_partkey").agg(*[F.round(F.expr(e), 4).alias(n) for n, e in MEASURES])
+    per = settle(table(spark, sf, "lineitem").groupBy("l_partkey").agg(*[F.round(F.expr(e), 4).alias(n) for n, e in MEASURES]))
     one = lambda n: ranks.ranked(per, [F.desc(n), F.asc("l_partkey")]).select(F.lit(n).alias("list_id"), F.col("rank").cast("int").alias("rank"), F.col("l_partkey").alias("work_id"), F.when(F.col("l_partkey") % 2 == 0, 1.0).otherwise(0.5).alias("weight_factor"))
     return one("revenue").unionByName(one("quantity")).unionByName(one("price"))
 
