@@ -234,15 +234,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """docs with one row of each component, all columns; the texts move once."""
     rows = settle(fingerprints(docs, id_col, text_col, width))
     order = F.struct(F.col("id").isNull().alias("late"), "id", "fp", "sig")
-    ranked = settle(rows.join(classes(rows, hot).select("fp", "root"), "fp").groupBy("root", order.alias("at")).agg(F.count(F.lit(1)).alias("n")))
-    first = ranked.groupBy("root").agg(F.min("at").alias("first"))
-    judged = ranked.join(first, "root")
+    # the first row of each fingerprint, then of each component: however many rows share a fingerprint, they meet in aggregates only
+    heads = rows.groupBy("fp").agg(F.min(order).alias("at")).join(classes(rows, hot).select("fp", "root"), "fp")
+    first = settle(heads.groupBy("root").agg(F.min("at").alias("at")).select("at.id", "at.sig"))
+    many = rows.groupBy("id", "sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "sig")
     names = docs.columns
     keys = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.conv(F.substring(F.sha2(whole(text_col), 256), 1, 16), 16, -10).cast("long").alias("_sig"))
     same = lambda right: keys["_id"].eqNullSafe(right["id"]) & (keys["_sig"] == right["sig"])
-    drop = judged.filter("at != first").select("at.id", "at.sig")
-    kept = keys.join(drop, same(drop), "left_anti")
-    again = settle(judged.filter("at = first and n > 1").select("at.id", "at.sig"))
+    kept = keys.join(first, same(first), "left_semi")
+    again = settle(many)
     if not again.isEmpty():  # rows repeated under one id and text
         alike = kept.join(again, same(again), "left_semi").dropDuplicates(["_id", "_sig"])
         kept = kept.join(again, same(again), "left_anti").unionByName(alike)
