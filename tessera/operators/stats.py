@@ -24,6 +24,15 @@ def weighted_median(rows: DataFrame, by: str, value: str, weight: str) -> DataFr
     return per.filter("so_far >= half").groupBy(by).agg(F.min(value).alias("median"))
 
 
+def exact_total(value: Column, mean: bool = False) -> Column:
+    """Aggregate: sum or mean of doubles, worked out in decimals (12 places), so that it is the same whatever the order and
+    the partitions; groups with a value of 18 digits or more before the point, infinite or no number are summed as doubles."""
+    x = value.try_cast("decimal(30,12)")
+    total = F.when(F.count(value) == F.count(x), F.try_sum(x).cast("double"))
+    total = F.coalesce(total, F.sum(value.cast("double")))
+    return F.try_divide(total, F.count(value)) if mean else total
+
+
 def histogram(rows: DataFrame, by: str, bin_: Column, weight: str) -> DataFrame:
     return rows.groupBy(by, bin_.alias("bin")).agg(F.round(F.sum(weight), 6).alias("weight"))
 

@@ -1,11 +1,15 @@
 """Ranks and sums over ranges, quantile thresholds, tables replaced and hashed: against plain restatements."""
 
 import random
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 from math import log
+from operator import add
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera import registry
 from tessera.operators import forest, fusion, ranks, stats
 from tessera.sources import sinks
 
@@ -78,3 +82,23 @@ def test_content_hash_in_levels(spark):
         one = sinks.content_hash(df, ["id"], digits, levels).first()
         assert one == sinks.content_hash(df.repartition(5), ["id"], digits, levels).first() and one.n_rows == 500
         assert one != sinks.content_hash(df.withColumn("v", F.col("v") + (F.col("id") == 3).cast("int")), ["id"], digits, levels).first()
+
+
+def test_prices_that_tie_rank_by_part_whatever_the_order_of_rows(spark, tmp_path):
+    rng, up = random.Random(5), lambda x: Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP)
+    mean = lambda v: reduce(add, v) / len(v)  # noqa: E731  sum() corrects its rounding
+    while True:  # the mean is half way between two roundings, and the order of the sum decides
+        low = [rng.randrange(1_000_000, 10_000_000) / 100 for _ in range(32)]
+        high = rng.sample(low, 32)
+        if up(mean(low)) < up(mean(high)):
+            break
+    rows = [(1, part, 1.0, price, 0.0) for part, prices in ((7, low), (8, high)) for price in prices]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.work_id: r.summary for r in registry.queries()["list_summary"](spark, str(tmp_path)).collect()}
+    assert got == {k: f"price #{n}; quantity #{n}; revenue #{n}" for n, k in enumerate((7, 8), 1)}
+
+
+def test_exact_totals_of_odd_values(spark):
+    rows = [(1, 0.1), (1, 0.2), (1, None), (2, None), (3, float("inf")), (3, 1.0), (4, 1e20), (4, 1.0)]
+    df = spark.createDataFrame(rows, "k int, v double").groupBy("k").agg(stats.exact_total(F.col("v")).alias("s"), stats.exact_total(F.col("v"), True).alias("m"))
+    assert {r.k: (r.s, r.m) for r in df.collect()} == {1: (0.3, 0.15), 2: (None, None), 3: (float("inf"), float("inf")), 4: (1e20, 5e19)}
