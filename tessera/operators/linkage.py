@@ -7,10 +7,10 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequences import let
+from . import passages
 
 
 def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
@@ -70,22 +70,17 @@ def cascade(rows: DataFrame, row_key: str, steps: list[tuple[str, DataFrame, str
     return out.drop(*[f"_t{i}" for i in range(len(steps))])
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct runs of three characters."""
-    three = lambda c: F.when(F.size(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))).otherwise(F.array().cast("array<string>"))
-    return let(F.regexp_extract_all(text, F.lit("(?s)."), 0), three)
-
-
 def contained(needles: DataFrame, hay: DataFrame, needle: str, text: str) -> DataFrame:
-    """needles x hay rows where text contains needle (3 characters or more), blocked by the needle's rarest trigram.
+    """needles x hay rows where text contains needle (3 characters or more), with hay's columns but the text.
 
-    Each needle is filed under the one of its trigrams that fewest texts have, so a text meets few needles.
+    Equal needles are looked for once; passages.FEW distinct needles take a pass over the texts.
     """
-    h = hay.withColumn("_tri", F.explode(trigrams(F.col(text))))
-    df = h.groupBy("_tri").agg(F.count(F.lit(1)).alias("_df"))
-    n = needles.withColumn("_tri", F.explode(trigrams(F.col(needle)))).join(df, "_tri")
-    rare = n.withColumn("_n", F.row_number().over(Window.partitionBy(*needles.columns).orderBy("_df", "_tri"))).filter("_n = 1").drop("_n", "_df")
-    return rare.join(h, "_tri").filter(F.contains(F.col(text), F.col(needle))).drop("_tri")
+    n = needles.filter(F.char_length(needle) >= 3).withColumn("_key", passages.digest(F.col(needle)))
+    distinct = n.select(F.col("_key").alias("key"), F.col(needle).alias("t")).dropDuplicates(["key"])
+    parts = max(1, -(-n.select("_key").distinct().count() // passages.FEW))
+    share = lambda i: distinct.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == i)
+    met = reduce(DataFrame.unionByName, [passages.held(share(i), hay, text) for i in range(parts)])
+    return n.join(met, "_key").drop("_key")
 
 
 def any_of(columns: list[Column]) -> Column:

@@ -1,9 +1,12 @@
 """Queries do the whole job: no prefix, no sample, no pair left out."""
 
+import random
+
+import numpy as np
 import pandas as pd
 
 from tessera import registry
-from tessera.operators import align, linkage
+from tessera.operators import align, linkage, passages
 
 
 def plain_agreement(a, b, match=2.0, mismatch=-1.0, open_=3.0, extend=0.3):
@@ -46,3 +49,40 @@ def test_substring_match_compares_whole_passages(spark, tmp_path):
     pd.DataFrame({"item_id": [1], "text": [text]}).to_parquet(tmp_path / "benchmark.parquet")
     pd.DataFrame({"doc_id": [1, 2], "text": [f"x {text} y", f"x {text[:50]} and then something else"]}).to_parquet(tmp_path / "documents.parquet")
     assert [r.doc_id for r in registry.queries()["substring_match"](spark, str(tmp_path)).collect()] == [1]
+
+
+def test_contained_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    letters = ["ab", "abé", "aéÿ☃𝄞 \n", "abcdefghijklmnopqrstuvwxyz "]
+    text = lambda n: "".join(rng.choices(rng.choice(letters), k=n))
+    hay = [(i, text(rng.choice([0, 2, 5, 40, 300]))) for i in range(150)] + [(150, None), (151, "")]
+    cut = lambda t, n: t[(a := rng.randrange(max(1, len(t) - n + 1))) : a + n]
+    needles = [(i, cut(rng.choice(hay[:150])[1], rng.choice([1, 2, 3, 4, 7, 8, 9, 23, 24, 25, 60, 200])) + rng.choice(["", "", "b"])) for i in range(200)]
+    needles += [(200, None), (201, ""), needles[0], needles[1], (202, hay[0][1] * 3)]
+    hay += hay[:20]  # rows that repeat are rows
+    want = sorted((n, h) for n, x in needles for h, y in hay if x and y and len(x) >= 3 and x in y)
+    n, h = spark.createDataFrame(needles, "n int, needle string"), spark.createDataFrame(hay, "h int, text string").repartition(3)
+    for few in (50_000, 60):
+        monkeypatch.setattr(passages, "FEW", few)
+        assert sorted((r.n, r.h) for r in linkage.contained(n, h, "needle", "text").collect()) == want
+    assert len(want) > 300 and linkage.contained(n.filter("n = 202"), h, "needle", "text").count() == 0
+    assert linkage.contained(n.limit(0), h, "needle", "text").count() == linkage.contained(n, h.limit(0), "needle", "text").count() == 0
+
+
+def test_contained_moves_no_text(spark):
+    h = spark.createDataFrame([(1, "a text that holds a passage of some length"), (2, "another")], "h int, text string")
+    got = linkage.contained(spark.createDataFrame([(1, "holds a passage of some")], "n int, needle string"), h, "needle", "text").select("n", "h")
+    assert [tuple(r) for r in got.collect()] == [(1, 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # a row a run of characters, each with the whole text, is what filled the disk
+
+
+def test_runs_are_found_across_parts(monkeypatch):
+    data = np.frombuffer(random.Random(1).randbytes(500), np.uint8)
+    for width in passages.WIDTHS:
+        all_ = passages.codes(data, width)
+        w = passages.Wanted(width, np.unique(all_[::7]))
+        for part in (1 << 20, 64, 1):
+            monkeypatch.setattr(passages, "_PART", part)
+            got = [(a, k) for at, ks in w.found(data) for a, k in zip(at.tolist(), ks.tolist(), strict=True)]
+            assert got == [(a, int(np.searchsorted(w.codes, c))) for a, c in enumerate(all_) if c in w.codes]
