@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.durable import settle
+
 from .ranks import running
 
 #: The largest document frequency that still counts, and the prior variance added to every score's.
@@ -45,6 +47,7 @@ def pair_evidence(targets: DataFrame, sizes: DataFrame, sources: DataFrame, n_do
         targets = targets.join(wanted, "key", "left_semi").distinct()
     else:
         targets = targets.join(F.broadcast(wanted), "key", "left_semi").distinct()
+    targets = settle(targets)  # frequencies and pairs both need them
     both = targets.select("key").unionByName(sources.select("key"))
     df = both.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= cap)
     n = F.lit(float(n_docs))

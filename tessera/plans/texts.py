@@ -31,7 +31,8 @@ def _keys(rows: DataFrame, key: str, name: str, n: int = N) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf: str, n: int = N) -> DataFrame:
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    sizes = settle(d.select(F.col("doc_id").alias("a"), F.size(_grams(n)).cast("long").alias("size")).filter("size > 0"))
+    # filtered once it is settled: else the n-grams are made for the filter and again for the result
+    sizes = settle(d.select(F.col("doc_id").alias("a"), F.size(_grams(n)).cast("long").alias("size"))).filter("size > 0")
     return evidence.pair_evidence(_keys(d, "doc_id", "a", n), sizes, _keys(b, "item_id", "b", n).distinct(), d.count() + b.count())
 
 

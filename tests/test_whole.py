@@ -86,3 +86,8 @@ def test_runs_are_found_across_parts(monkeypatch):
             monkeypatch.setattr(passages, "_PART", part)
             got = [(a, k) for at, ks in w.found(data) for a, k in zip(at.tolist(), ks.tolist(), strict=True)]
             assert got == [(a, int(np.searchsorted(w.codes, c))) for a, c in enumerate(all_) if c in w.codes]
+
+
+def test_known_pairs_reads_the_documents_once_more_than_it_settles(spark, sf):
+    plan = registry.queries()["known_pairs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 1  # the look for passages; n-grams are made and settled before
