@@ -9,7 +9,7 @@ from collections import deque
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import lines, names, schemas
+from tessera.operators import lines, matching, names, schemas, seeding, sequences
 from tessera.sources import archives, midi
 
 
@@ -179,3 +179,19 @@ def test_cycles_are_heard():
 def test_readings_keep_digits_at_either_end(spark):
     df = spark.createDataFrame([("T/0 Act 20 - 1 Song 10 (2).mid",)], "n string")
     assert [tuple(x) for x in df.select(names.readings(F.col("n")).alias("r")).first().r] == [("0 Act 20", "1 Song 10"), ("1 Song 10", "0 Act 20"), ("T", "0 Act 20 - 1 Song 10"), ("T", "1 Song 10"), (None, "0 Act 20 - 1 Song 10")]
+
+
+def test_seeds_of_lines_equal_the_join(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([0, 1, 7]) for _ in range(rng.choice([0, 3, 5, 9, 30]))]) for i in rng.sample(range(1000), 60)]
+    rows += [(1000 + i, t) for i, t in rows[:25]] + [(5000 + i, [1] * 20) for i in range(4)]
+    df = spark.createDataFrame(rows, "line long, t array<int>").repartition(3)
+    grams = df.select("line", F.posexplode(sequences.ngrams(F.col("t"), 3)).alias("at", "key"))
+    want = sorted(tuple(r) for r in matching.seeds(grams, "line", "at", "key", 2).select("a", "b", "offset", "n", "first").collect())
+    for block in (50_000, 20):
+        monkeypatch.setattr(seeding, "BLOCK", block)
+        got = seeding.line_seeds(df, "line", "t", 3, 2)
+        assert sorted(map(tuple, got.collect())) == want
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # no seed and no pair is shuffled
+    assert len(want) > 1000 and seeding.line_seeds(df.limit(0), "line", "t", 3, 2).count() == 0
+    assert seeding.line_seeds(df, "line", "t", 60, 2).count() == 0
