@@ -19,6 +19,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
+def training(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """_id, _y: all training rows. Rows without id, and labels other than 0 and 1, are left out; an id labelled twice counts by
+    its larger label."""
+    marked = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
+    return marked.filter(~held_out("_id"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", brief: Callable[[str], str] | None = None) -> tuple[list[str], np.ndarray, float]:
     """Texts and labels (0/1) of at most per_class training rows of each class, by hash of the id, and the share of label 1.
 
@@ -26,8 +33,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_co
     worked out where the text lies, and of an id with several texts the least. Rows without id or label, and labels other
     than 0 and 1, are left out; an id labelled twice counts by its larger label.
     """
-    marked = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
-    marked = marked.filter(~held_out("_id"))
+    marked = training(labels, label, id_col)
     rate = marked.agg(F.avg("_y")).first()[0]
     kinds = [marked.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     drawn = kinds[0].unionByName(kinds[1])

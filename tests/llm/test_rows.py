@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import pytest
@@ -361,3 +362,34 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         marks.write.parquet(str(tmp_path / name / "labels.parquet"))
         got = p.run(spark, str(tmp_path / name)).collect()
         assert sorted({r.doc_id for r in got}) == ([2, 4] if name == "some" else [])
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    rng = np.random.default_rng(8)
+    n = 8000  # over 3,000 training rows a class, which once were all that counted
+    good = rng.random(n) < 0.5
+    text = lambda g: " ".join(("Word " if rng.random() < (0.2 if g else 0.5) else "a, ") + "x" * int(rng.integers(1, 9)) for _ in range(int(rng.integers(0, 12))))
+    rows = [(i, text(g)) for i, g in enumerate(good.tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    marks = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good.tolist())], "doc_id long, quality int")
+    mine = [(t, int(g)) for (i, t), g in zip(rows, good.tolist(), strict=True) if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([k for _, k in mine])
+    assert min(y.sum(), len(y) - y.sum()) > 3000
+    model = quality.train([t for t, _ in mine], y, float(y.mean()))
+    want = model.score([t for _, t in rows])
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, marks).collect()}
+    assert max(abs(got[i] - want[i]) for i in range(n)) < 1e-9
+
+
+def test_quality_minimises_the_loss_of_all_pairs():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["aa", "B,", "c", "dd.", "E!"], int(rng.integers(1, 30)))) for _ in range(120)]
+    y = np.array([int(t.count("B") / len(t) + rng.normal(0, 0.05) > 0.06) for t in texts])
+    x = quality.described(texts)
+    w, scale, n0, n1 = quality._fit(lambda f, keys, *more: f(x, y, *more))
+    assert (n0, n1) == ((y == 0).sum(), y.sum())
+    d = ((x[y == 1][:, None] - x[y == 0][None]) / scale).reshape(-1, x.shape[1])
+    slope = -(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + quality.L2 * w
+    assert np.abs(slope).max() < 2e-3  # the grid's error
+    loss = lambda v: np.logaddexp(0, -(d @ v)).mean() + quality.L2 / 2 * v @ v
+    assert all(loss(w) <= loss(w + 0.3 * rng.normal(size=len(w)) / 5) + 1e-4 for _ in range(20))
